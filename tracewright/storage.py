@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables up to this many rows of a few fixed-width columns (under 64 MB in memory) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 _OWN: dict[str, str] = {}
 
 
