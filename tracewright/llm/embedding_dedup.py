@@ -16,14 +16,14 @@ vector each row, with the same id; a null id keeps its row and takes no part in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import tuned
+from tracewright.llm.common import by_group, tuned
 from tracewright.operators.graph import connected_components
 from tracewright.storage import small, stored
 
@@ -36,6 +36,7 @@ PART = 1500
 SLACK = 1e-5
 
 
+@lru_cache
 def rotation(size: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(11).normal(size=(size, size)))
     return q * np.sign(np.diag(r))
@@ -47,17 +48,20 @@ def bounds(size: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
-def cells(vector: np.ndarray, cosine: float) -> Iterator[tuple[str, bool]]:
-    """Cells of a rotated unit vector, and whether it is at home there."""
-    for b, (lo, hi) in enumerate(bounds(len(vector))):
-        radius = np.sqrt((2 - 2 * cosine) * (hi - lo) / len(vector)) + SLACK
-        x = vector[lo : min(hi, lo + GRID)]
-        width = 2 * radius + SLACK
-        home = np.floor(x / width).astype(int)
-        first, last = np.floor((x - radius) / width).astype(int), np.floor((x + radius) / width).astype(int)
-        for cell in np.ndindex(*(last - first + 1).tolist()):
-            at = first + cell
-            yield f"{b}:" + ",".join(map(str, at.tolist())), bool((at == home).all())
+def cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Of rotated unit vectors: rows, block, cells (GRID numbers) and whether the row is at home there."""
+    size = turned.shape[1]
+    for b, (lo, hi) in enumerate(bounds(size)):
+        radius = np.sqrt((2 - 2 * cosine) * (hi - lo) / size) + SLACK
+        x = turned[:, lo : min(hi, lo + GRID)]
+        width = 2 * radius + SLACK  # so a ball of this radius reaches two cells at most each way
+        home, first, last = (np.floor(y / width).astype(np.int64) for y in (x, x - radius, x + radius))
+        for step in np.ndindex(*[2] * x.shape[1]):
+            at = first + np.array(step)
+            rows = np.flatnonzero((at <= last).all(1))
+            cell = np.zeros((len(rows), GRID), np.int64)
+            cell[:, : x.shape[1]] = at[rows]
+            yield rows, b, cell, (at[rows] == home[rows]).all(1)
 
 
 def _first_block(d: np.ndarray, cosine: float) -> np.ndarray:
@@ -68,59 +72,70 @@ def _first_block(d: np.ndarray, cosine: float) -> np.ndarray:
     return out
 
 
-def _joined(found: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def _joined(found: dict[str, np.ndarray], cosine: float) -> list[tuple[int, int, int]]:
     """Links of one part of a cell: per vector at home the weight it links, and a spanning forest.
 
     ``role``: 0 a vector at home that is also a partner, 1 only at home, 2 only a partner.
     """
-    home, other = found[found.role < 2], found[found.role != 1]
-    block = int(found.cell.iloc[0].split(":", 1)[0])
-    ids, ids_b, weight = home.rep.to_numpy(), other.rep.to_numpy(), other.weight.to_numpy()
-    if not len(ids) or not len(ids_b):
-        return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-
-    def unit(v):
-        v = np.array(v, float)
-        v = v / np.abs(v).max()
-        return v / np.sqrt((v * v).sum())
-
-    ua, ub = (np.array([unit(v) for v in side.vector]) for side in (home, other))
+    home, other = found["role"] < 2, found["role"] != 1
+    if not home.any() or not other.any():
+        return []
+    block, ids, ids_b, weight = int(found["block"][0]), found["rep"][home], found["rep"][other], found["weight"][other]
+    ua, ub = (unit(np.array(found["vector"][side].tolist(), float)) for side in (home, other))
     turn = rotation(ua.shape[1])
-    # one product a vector: its coordinates are the same in every cell
-    ra, rb = (np.array([v @ turn for v in side]) for side in (ua, ub))
+    ra, rb = ua @ turn, ub @ turn
     lo, hi = bounds(ua.shape[1])[block]
     xb, square_b = rb[:, lo:hi], (rb[:, lo:hi] ** 2).sum(1)
     limit = (2 - 2 * cosine) * (hi - lo) / ua.shape[1] + SLACK
-    parent = {i: i for i in ids_b.tolist()}
+    # which block comes first must be the same in every cell: one product a vector, whatever its company
+    exact: dict[tuple[int, int], np.ndarray] = {}
 
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def turned(side: int, units: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        for k in set(rows.tolist()):
+            if (side, k) not in exact:
+                exact[side, k] = units[k] @ turn
+        return np.array([exact[side, k] for k in rows.tolist()]).reshape(-1, ua.shape[1])
+
+    group = {x: x for x in {*ids.tolist(), *ids_b.tolist()}}
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
 
     rows: list[tuple[int, int, int]] = []
-    for at in range(0, len(ua), 512):
-        part = slice(at, at + 512)
-        x = ra[part, lo:hi]
-        i, j = np.nonzero(((x * x).sum(1)[:, None] + square_b - 2 * x @ xb.T <= limit) & (ids[part][:, None] != ids_b))
-        good = (ua[part][i] * ub[j]).sum(1) >= cosine
-        i, j = i[good], j[good]
-        good = _first_block(ra[part][i] - rb[j], cosine) == block
-        i, j = i[good], j[good]
-        sums = np.bincount(i, weight[j], len(ra[part])).astype(np.int64)
-        rows += [(int(x), int(x), int(n)) for x, n in zip(ids[part], sums, strict=True) if n]
-        for x, y in zip(ids[part][i].tolist(), ids_b[j].tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[p] = q
-                rows.append((x, y, 0))
-    return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("int64")
+    for at in range(0, len(ua), 256):
+        x = ra[at : at + 256, lo:hi]
+        i, j = np.nonzero(((x * x).sum(1)[:, None] + square_b - 2 * x @ xb.T <= limit) & (ids[at : at + 256][:, None] != ids_b))
+        for k in range(0, len(i), 50_000):
+            p, q = i[k : k + 50_000] + at, j[k : k + 50_000]
+            good = (ua[p] * ub[q]).sum(1) >= cosine
+            p, q = p[good], q[good]
+            good = _first_block(turned(0, ua, p) - turned(1, ub, q), cosine) == block
+            p, q = p[good], q[good]
+            for h, n in zip(*(z.tolist() for z in np.unique(p, return_counts=True)), strict=True):
+                own = int(ids[h])
+                partners = q[np.searchsorted(p, h) : np.searchsorted(p, h) + n]
+                rows.append((own, own, int(weight[partners].sum())))
+                for y in ids_b[partners].tolist():
+                    a, b = root(own), root(y)
+                    if a != b:
+                        group[a] = b
+                        rows.append((own, y, 0))
+    return rows
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that huge and tiny numbers do no harm."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
     tuned(vectors.sparkSession)
+    narrow = dict(vectors.dtypes)[embedding] == "array<float>"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"), F.col(label).cast("string").alias("label"))
     sound = F.expr("vec_id is not null and label is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)")
     usable = rows.where(F.coalesce(sound, F.lit(False)))
@@ -130,32 +145,28 @@ def linked(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", e
     members = stored(keyed.join(reps.select("label", "vector", "rep", "weight"), ["label", "vector"]).select("vec_id", "rep", "weight"), "members")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[tuple] = []
-            for label, vector, rep, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v = np.array(vector)
-                v = v / np.abs(v).max()
-                turn = turns.setdefault(len(v), rotation(len(v)))
-                for cell, home in cells(v / np.sqrt(v @ v) @ turn, cosine):
-                    out.append((f"{cell}|{len(v)}|{label}", home, rep, weight, vector))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float32() if narrow else pa.float64())), strict=True)], names=["cell", "home", "rep", "weight", "vector"])
-
-    narrow = dict(vectors.dtypes)[embedding] == "array<float>"
-    placed = reps.select("label", "vector", "rep", "weight").mapInArrow(spread, f"cell string, home boolean, rep long, weight long, vector array<{'float' if narrow else 'double'}>")
-    crowded = stored(placed.groupBy("cell").agg(F.count("*").alias("n")).where(f"n > {2 * PART}").selectExpr("cell", f"n div {PART} + 1 as parts"), "crowded")
-    split = placed.join(small(crowded), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+            sizes = np.array([len(v) for v in batch.column(1)], int)
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                vectors = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, size)
+                for rows, b, cell, home in cells(unit(vectors) @ rotation(size), cosine):
+                    some = part.take(pa.array(rows))
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(n, size)), pa.array(np.full(n, b)), *(pa.array(c) for c in cell.T), pa.array(home), some.column(2), some.column(3), some.column(1)], names=[*key, "home", "rep", "weight", "vector"])
+
+    key = ["label", "size", "block", *(f"c{k}" for k in range(GRID))]
+    kind = f"array<{'float' if narrow else 'double'}>"
+    placed = reps.select("label", F.col("vector").cast(kind), "rep", "weight").mapInArrow(spread, "label string, " + ", ".join(f"{k} long" for k in key[1:]) + f", home boolean, rep long, weight long, vector {kind}")
+    crowded = stored(placed.groupBy(*key).agg(F.count("*").alias("n")).where(f"n > {2 * PART}").select(*key, F.expr(f"n div {PART} + 1").alias("parts")), "crowded")
+    split = placed.join(small(crowded), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # homes of part i meet the rows of part j in (i, j); in an undivided cell one row serves both sides
     own, row = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("own"), "struct(cast(%s as long) as i, cast(%s as long) as j, %s as role)"
     grid = f"concat(if(home, transform(sequence(0, parts - 1), k -> {row % ('own', 'k', '1')}), array()), transform(sequence(0, parts - 1), k -> {row % ('k', 'own', '2')}))"
     roles = F.expr(f"if(parts = 1, array({row % ('0', '0', 'if(home, 0, 2)')}), {grid})")
-    both = split.withColumn("own", own).withColumn("at", F.explode(roles)).select("cell", "at.*", "rep", "weight", "vector")
-
-    def join(found: pd.DataFrame) -> pd.DataFrame:
-        return _joined(found, cosine)
+    both = split.withColumn("own", own).withColumn("at", F.explode(roles)).select(*key, "at.*", "rep", "weight", "vector")
 
-    links = stored(both.groupBy("cell", "i", "j").applyInPandas(join, "a long, b long, links long"), "links")
+    links = stored(by_group(both, [*key, "i", "j"], lambda found: _joined(found, cosine), "a long, b long, links long"), "links")
     sums = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
     components = connected_components(links.where("a <> b"), "a", "b").select(F.col("node").alias("rep"), "component")
     per_rep = reps.select("rep").join(sums, "rep", "left").join(components, "rep", "left")
