@@ -13,14 +13,13 @@ components on which two documents agree is an unbiased estimate of their similar
 
 Equal word sequences are merged first. Documents that agree in a band are candidates; in a bucket only
 documents whose signatures agree enough for a similarity of ``SIMILARITY`` are kept, at a margin of several
-standard deviations, as a spanning tree of the best estimates. Trees are verified on whole texts; buckets
-that still hold several components then offer every such pair across components. A bucket with very many
-documents is cut into parts that share its first document. All lists of pairs are thin rows; texts are
-shuffled once for each verified pair's side.
-
-Null texts are empty. Each row gets ``class_id``, the smallest doc_id reachable by links, ``kept`` (it is the
-class id), and ``n_links``, verified links of its word sequence. Rows that repeat a doc_id belong to one
-document; a null id has class null and is kept.
+standard deviations, as a spanning tree of the best estimates. Trees are verified on whole texts. Where that
+leaves a tree's documents in several components, those outside the largest meet all others in blocks of texts
+and links across components are found by an inverted index, so that no pairs are listed. A bucket with very
+many documents is cut into parts that share its first document.
+
+Null texts are empty. Each row gets ``class_id``, the smallest doc_id reachable by links, and ``kept`` (it is
+the class id). Rows that repeat a doc_id belong to one document; a null id has class null and is kept.
 """
 
 from __future__ import annotations
@@ -189,15 +188,39 @@ def _tree(found: dict[str, np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _across(found: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-    """Every pair across components whose signatures agree enough; rows with ``outer`` are in every part of the bucket."""
-    ids, comp, sig = found["doc_id"], found["component"], _briefs(found)
-    out = set()
+def _across(found: dict[str, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Verified links of ``outer`` documents to members of other components: one for each component reached.
+
+    Overlaps come from an inverted index of the members' shingles, so no pair is written anywhere.
+    """
+    bags = [shingles(x or "")[:2] for x in found["text"]]
+    ids, comp = found["doc_id"], found["component"]
+    members = np.flatnonzero(~found["outer"])
+    if not len(members):
+        return []
+    sizes = [len(bags[m][0]) for m in members]
+    keys, counts = np.concatenate([bags[m][0] for m in members]), np.concatenate([bags[m][1] for m in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, counts, owner = keys[order], counts[order], owner[order]
+    total = np.array([int(bags[m][1].sum()) for m in members])
+    out = []
     for i in np.flatnonzero(found["outer"]):
-        j = np.flatnonzero((comp != comp[i]) & (ids != ids[i]))
-        for x in ids[j[(sig[j] == sig[i]).mean(1) >= AGREE]].tolist():
-            out.add((min(int(ids[i]), x), max(int(ids[i]), x)))
-    return sorted(out)
+        mine, times = bags[i]
+        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, np.int64)
+        both = np.bincount(owner[at], np.minimum(counts[at], np.repeat(times, n)), len(members))
+        near = members[both >= similarity * (total + times.sum() - both)]
+        near = near[comp[near] != comp[i]]
+        for k in np.unique(comp[near], return_index=True)[1]:
+            a, b = int(ids[i]), int(ids[near[k]])
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _texts_of(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -206,8 +229,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     left = pairs.select("a", "part").distinct().selectExpr("a as doc_id", "a", "part", "a as b", "true as lead")
     right = pairs.selectExpr("b as doc_id", "a", "part", "b", "false as lead")
     sides = small(stored(left.unionByName(right), "sides"))
-    # one text a document: rows may repeat an id
-    sent = docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").join(sides, "doc_id")
+    sent = _texts_of(docs).join(sides, "doc_id")
 
     def check(found: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         lead = found["lead"]
@@ -218,7 +240,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, kept`` of every row."""
+    """``doc_id, class_id, kept`` of every row."""
     tuned(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stored(_signed(docs), "signed")
@@ -238,21 +260,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
     tested = stored(trees.distinct(), "pairs")
     good = _verified(tested, docs, similarity)
     component = connected_components(good, "a", "b").withColumnsRenamed({"node": "doc_id"})
-    # buckets with several components: whoever isn't in the most common one meets all others
-    state = in_bucket.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    open_ = state.join(sizes.select("bucket", F.col("main.component").alias("main")), "bucket").withColumn("outer", F.col("component") != F.col("main"))
-    placed = open_.withColumn("part", F.explode(F.when(F.col("outer"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), parts)))))
-    more = by_group(placed.select("bucket", "part", "doc_id", "component", "outer").join(briefs, "doc_id"), ["bucket", "part"], _across, "a long, b long")
-    late = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not late.isEmpty():
-        good = stored(good.unionByName(_verified(late, docs, similarity)), "links")
-        component = connected_components(good, "a", "b").withColumnsRenamed({"node": "doc_id"})
-    links = good.select("a").unionByName(good.selectExpr("b as a")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    found = members.distinct().join(component.withColumnsRenamed({"doc_id": "rep"}), "rep", "left").join(links, "rep", "left")
+    # clusters of candidates that verification left in several components: whoever isn't in a cluster's most common
+    # component meets all its other members, in a grid of parts of both sides
+    clusters = connected_components(tested, "a", "b").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    state = stored(clusters.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "state")
+    sizes = state.groupBy("cluster", "component").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("components"))
+    open_ = stored(sizes.where("components > 1 and n > 2").selectExpr("cluster", "main.component as main", f"n div {PART} + 1 as columns", f"(n - main.m) div {PART} + 1 as rows"), "open")
+    inside = state.join(small(open_), "cluster").withColumn("apart", F.col("component") != F.col("main"))
+    row, column = (F.pmod(F.xxhash64("doc_id"), F.col(c)) for c in ("rows", "columns"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    names = ["cluster", "row", "column", "doc_id", "component", "outer"]
+    as_member = inside.withColumns({"column": column, "row": each("rows"), "outer": F.lit(False)}).select(names)
+    as_outer = inside.where("apart").withColumns({"row": row, "column": each("columns"), "outer": F.lit(True)}).select(names)
+    meeting = stored(as_member.unionByName(as_outer), "meeting")
+    if not meeting.isEmpty():
+        sent = _texts_of(docs).join(small(meeting), "doc_id")
+        more = stored(by_group(sent, ["cluster", "row", "column"], lambda part: _across(part, similarity), "a long, b long"), "links")
+        component = connected_components(good.unionByName(more), "a", "b").withColumnsRenamed({"node": "doc_id"})
+    found = members.distinct().join(component.withColumnsRenamed({"doc_id": "rep"}), "rep", "left")
     out = docs.select("doc_id").join(found, "doc_id", "left")
     class_id = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def distinct_rows(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
