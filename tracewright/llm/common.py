@@ -82,3 +82,8 @@ def by_group(rows: DataFrame, keys: list[str], run: Callable[[dict[str, np.ndarr
 
 def _numbers(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in ddl.split(",")])
+
+
+def renamed(docs: DataFrame, *names: str) -> tuple:
+    """``docs`` with columns named by their place, so that no name clashes with an operator's own, and the new names."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), *(f"c{docs.columns.index(n)}" for n in names)

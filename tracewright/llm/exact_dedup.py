@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import tuned
+from tracewright.llm.common import renamed, tuned
 
 #: Bytes of content that a table may hold before it spills.
 BUDGET = 48 << 20
@@ -150,7 +150,8 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns they had."""
-    return survivors(docs, doc_id, text).select(*docs.columns)
+    inner, i, t = renamed(docs, doc_id, text)
+    return survivors(inner, i, t).select(*inner.columns).toDF(*docs.columns)
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

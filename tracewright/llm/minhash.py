@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import by_group, texts, tuned
+from tracewright.llm.common import by_group, renamed, texts, tuned
 from tracewright.operators.graph import connected_components
 from tracewright.storage import small, stored
 
@@ -286,4 +286,5 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 def distinct_rows(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, with the columns it had; rows that repeat the kept id all stay."""
     dropped = stored(classes(docs, similarity, doc_id, text).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(small(dropped), F.col(f"`{doc_id}`").cast("long") == F.col("_dropped"), "left_anti")
+    inner, i = renamed(docs, doc_id)
+    return inner.join(small(dropped), F.col(i).cast("long") == F.col("_dropped"), "left_anti").toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import tuned
+from tracewright.llm.common import renamed, tuned
 from tracewright.storage import small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,7 +154,8 @@ def mix(docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "
 def mixed_rows(docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken. Rows without words stay once."""
     tuned(docs.sparkSession)
-    sized = with_size(docs, text).withColumns({"_source": F.col(source), "_hash": _hash(doc_id, seed)})
+    inner, i, s, t = renamed(docs, doc_id, source, text)
+    sized = with_size(inner, t).withColumns({"_source": F.col(s), "_hash": _hash(i, seed)})
     chosen, _, _ = plan(stored(sized.select("_source", "_size", "_hash"), "sizes"), seed)
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))
-    return _copies(sized, chosen).withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _copies(sized, chosen).withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= times).select(*inner.columns).toDF(*docs.columns)
