@@ -9,8 +9,9 @@ falls below the k-th best cosine found. The result is the exact list of nearest
 by distance and calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Null texts are empty. A text without any of the terms, empty ones too, gets the share of toxic rows among
-such examples. Ties go to the example that comes first. Without labels of both kinds every score is 0.5
-times nothing known: 0.0 if no toxic example exists. Repeated rows are scored alike.
+such examples. Ties go to the example that comes first. Without labels of both
+kinds there are no terms, and every score is the share of toxic examples; 0 if there are no examples.
+Repeated rows are scored alike.
 """
 
 from __future__ import annotations
