@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.tagging import rate_state
-from tracewright.model import from_telemetry, op_bit, op_dimension, tagged
+from tracewright.model import from_telemetry, op_dimension, tagged
 from tracewright.operators.graph import connected_components
 from tracewright.operators.replay import replay_bounded, replay_core, replay_scored
 from tracewright.plans.rules import compile_rules, compile_scored, referenced_tags
