@@ -3,6 +3,7 @@ import random
 import pandas as pd
 import pytest
 
+from tracewright.model import VERDICTS
 from tracewright.operators.replay import BoundedEngine, CoreEngine, ScoredEngine, replay_core
 from tracewright.plans.rules import compile_rules, compile_scored
 from tracewright.queries import DAG, LINEAR
@@ -89,7 +90,7 @@ def stream(n, seed, ids=12):
 
 
 def test_bounded_never_exceeds():
-    rank = ["ignore", "inspect", "disarm", "block"].index
+    rank = VERDICTS.index
     rules = compile_rules(DAG, True)
     rows = stream(3000, 7)
     full, bound = run(CoreEngine(rules, True), rows), run(BoundedEngine(rules, members=6, automata=3), rows)

@@ -26,7 +26,7 @@ def test_tagging(spark):
 
 
 def test_frames(spark):
-    records = [frames.encode_record(103, 20_000_000, 50, 1, image="lsass.exe"), frames.encode_record(100, 20_000_000, 100, 1, child_pid=800, child_start=2, image="m.exe", cmdline="x"), frames.encode_record(102, 30_000_000, 800, 2, 7, target_pid=50, target_start=1, desired_access=0x10, target_image="lsass.exe")]
+    records = [frames.encode_record(103, 20_000_000, 50, 1, image="lsass.exe"), frames.encode_record(100, 20_000_000, 100, 10_000, child_pid=800, child_start=20_000, image="m.exe", cmdline="x"), frames.encode_record(102, 30_000_000, 800, 20_000, 7, target_pid=50, target_start=10_000, desired_access=0x10, target_image="lsass.exe")]
     frame = frames.encode_frame(records, reply=True)
     assert [r["type"] for r in frames.decode_frame(frame)] == ["exist", "create", "process_open"]
     assert len(list(frames.split_stream(frame * 3))) == 3

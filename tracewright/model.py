@@ -12,8 +12,8 @@ OPS = {
 }
 CAUSAL = ("exec", "inject", "create", "dup", "write")
 OP_BITS = {op: codes[0] for op, codes in OPS.items() if codes[0]}
-#: Verdicts of the linear and partial-order dialects, by rank.
-VERDICTS = ("ignore", "inspect", "disarm", "block")
+#: Verdicts of the linear and partial-order dialects, by rank; from ``block`` on the operation is denied.
+VERDICTS = ("ignore", "inspect", "block", "disarm")
 #: Verdicts of the scored dialect, by rank.
 KINDS = ("None", "Suspect", "Alert", "Block")
 

@@ -123,8 +123,8 @@ def disarm_gate(spark, sf_dir):
 
 
 def event_verdict(spark, sf_dir):
-    rank = F.expr(f"case when seq > c3 and op in {GATED} then 3 when seq = c3 then 2 when seq in (c0, c1, c2) then 1 else 0 end")
-    return _commits(spark, sf_dir, False).withColumn("rank", F.coalesce(rank, F.lit(0))).groupBy("actor").agg(F.max("rank").alias("verdict_rank"), F.sum(F.expr("int(rank = 3)")).alias("blocked"), F.sum(F.expr("int(rank = 1)")).alias("inspected"))
+    rank = F.expr(f"case when seq > c3 and op in {GATED} then 2 when seq = c3 then 3 when seq in (c0, c1, c2) then 1 else 0 end")
+    return _commits(spark, sf_dir, False).withColumn("rank", F.coalesce(rank, F.lit(0))).groupBy("actor").agg(F.max("rank").alias("verdict_rank"), F.sum(F.expr("int(rank = 2)")).alias("blocked"), F.sum(F.expr("int(rank = 1)")).alias("inspected"))
 
 
 def _steps(spark, sf_dir) -> DataFrame:
@@ -269,8 +269,8 @@ FROM e LEFT JOIN wr USING (seq) WINDOW h AS (PARTITION BY e.actor ORDER BY e.ts_
         "seg_window_match": w + f"a.actor, a.seq AS first_seq, min(b.seq) AS next_seq FROM g a JOIN g b ON a.actor = b.actor AND a.t1059 AND b.t1083 AND b.seq > a.seq AND b.ts_ms - a.ts_ms <= {SEGMENT_MS} GROUP BY ALL",
         "binding_match": w + "x.object, x.seq AS exec_seq, max(y.seq) AS write_seq FROM e x JOIN e y ON x.object = y.object AND x.op = 'exec' AND y.op = 'write' AND y.seq < x.seq GROUP BY ALL",
         "disarm_gate": x + f"seq, actor, op, c3 AS disarm_seq FROM e JOIN m USING (actor) WHERE seq > c3 AND op IN {GATED}",
-        "event_verdict": x + f"""actor, CAST(max(r) AS INT) AS verdict_rank, CAST(sum(CASE WHEN r = 3 THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS BIGINT) AS inspected FROM (
-  SELECT actor, CASE WHEN {_DENY} THEN 3 WHEN seq = c3 THEN 2 WHEN seq = c0 OR seq = c1 OR seq = c2 THEN 1 ELSE 0 END AS r FROM e LEFT JOIN m USING (actor)) GROUP BY actor""",
+        "event_verdict": x + f"""actor, CAST(max(r) AS INT) AS verdict_rank, CAST(sum(CASE WHEN r = 2 THEN 1 ELSE 0 END) AS BIGINT) AS blocked, CAST(sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) AS BIGINT) AS inspected FROM (
+  SELECT actor, CASE WHEN {_DENY} THEN 2 WHEN seq = c3 THEN 3 WHEN seq = c0 OR seq = c1 OR seq = c2 THEN 1 ELSE 0 END AS r FROM e LEFT JOIN m USING (actor)) GROUP BY actor""",
         "order_bonus": x + "actor, order_bonus FROM o",
         "kill_chain_score": x + """actor, count(*) AS stages, round(2 * count(*) + 0.3 * sum(sev) + max(order_bonus) + 2 * sum(rar), 6)::DOUBLE AS score FROM (
   SELECT actor, CASE bit WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 7.0 ELSE 9.0 END AS sev, CASE bit WHEN 0 THEN 0.1 WHEN 1 THEN 0.1 WHEN 2 THEN 0.8 ELSE 0.9 END AS rar FROM s) JOIN o USING (actor) GROUP BY actor""",

@@ -105,11 +105,12 @@ def decode(frames: DataFrame, content: str = "content") -> DataFrame:
 
 def normalise(records: DataFrame) -> DataFrame:
     """Events of sensor records: ``ts, op, actor, object, attrs, req_id, reply``; records that only tell state are dropped."""
-    proc = lambda pid, start: F.concat(F.lit("proc:"), F.col(pid).cast("string"), F.lit("."), F.col(start).cast("string"))
+    ms = lambda ticks: F.expr(f"greatest({ticks}, 0) div 10000")
+    proc = lambda pid, start: F.concat(F.lit("proc:"), F.col(pid).cast("string"), F.lit("."), ms(start).cast("string"))
     file = F.concat(F.lit("file:"), "file_name")
     op = F.expr("case type when 'create' then 'exec' when 'open' then 'open' when 'write' then 'write' when 'process_open' then 'read' when 'remote_thread' then 'inject' end")
     object_ = F.when(F.col("type") == "create", proc("child_pid", "child_start")).when(F.col("type").isin("process_open", "remote_thread"), proc("target_pid", "target_start")).otherwise(file)
     reads = F.when(F.col("type").isin("process_open") & ((F.col("desired_access").bitwiseAND(0x10)) != 0), F.lit("1"))
     made = F.create_map(F.lit("image"), F.when(F.col("type") == "create", F.col("image")), F.lit("cmd"), F.col("cmdline"), F.lit("target_image"), F.when(F.col("target_image") != "", F.col("target_image")), F.lit("vm_read"), reads)
     out = records.withColumn("op", op).where("op is not null")
-    return out.select(F.expr("greatest(ts, 0) div 10000").alias("ts"), "op", proc("pid", "pid_start").alias("actor"), object_.alias("object"), F.map_filter(made, lambda _, v: v.isNotNull()).alias("attrs"), "req_id", "reply")
+    return out.select(ms("ts").alias("ts"), "op", proc("pid", "pid_start").alias("actor"), object_.alias("object"), F.map_filter(made, lambda _, v: v.isNotNull()).alias("attrs"), "req_id", "reply")
