@@ -12,6 +12,7 @@ from tests.test_replay import RULES, stream, writes
 from tracewright import queries_flow
 from tracewright.engine import Engine
 from tracewright.functions.kernel import file_key, high_entropy, process_key
+from tracewright.functions.tagging import rate_state
 from tracewright.operators.replay import CoreEngine, ScoredEngine
 from tracewright.plans.rules import compile_rules, compile_scored, encode
 from tracewright.queries import DAG, LINEAR
@@ -183,3 +184,16 @@ def test_tcp(spark, tmp_path):
     thread.join(30)
     assert len(b"".join(got)) == size and os.path.isdir(tmp_path / "state")
     assert from_messages(spark.createDataFrame([(bytearray(b"".join(got)),)], "content binary")).select("seq").distinct().count() == 20
+
+
+def test_rate_state_equals_the_engine(spark):
+    r = random.Random(4)
+    rows, ts = [], 0
+    for i in range(400):
+        ts += r.choice([0, 0, 100, 400, 500, 1000, 1001])
+        rows.append((i, ts, r.choice(["write", "write", "write", "exec"]), f"p{r.randrange(3)}", r.choice(["a", "b", "c", None])))
+    got = rate_state(spark.createDataFrame(rows, "seq long, ts long, op string, actor string, dir string")).orderBy("seq").collect()
+    engine = ScoredEngine(compile_scored(""))
+    for g, (_, ts, op, actor, folder) in zip(got, rows, strict=True):
+        engine.tags(ts, op, actor, {"dir": folder} if folder else {})
+        assert (g.write_rate, g.dir_spread) == (len(engine.rates[actor]), len({d for _, d in engine.rates[actor]})), g

@@ -22,15 +22,25 @@ def rate_state(events: DataFrame, window_ms: int = 1000) -> DataFrame:
     """Events with ``write_rate`` and ``dir_spread``: of the actor's writes in the window that ends with its last write.
 
     The window includes both ends and only writes that came before in ``(ts, seq)`` order; on other operations
-    both read as of the actor's last write.
+    both read as of the actor's last write. Both are running sums: a write counts from its event until it leaves
+    the window, a folder from the first write of a run whose gaps fit the window until the run's last write
+    leaves it. So the work grows with the sort alone, however many writes a window holds, and one shuffle by
+    actor serves every step.
     """
-    peers = Window.partitionBy("actor").orderBy("ts").rangeBetween(-window_ms, 0)
-    is_write = F.col("op") == "write"
-    near = F.collect_list(F.when(is_write, F.struct("ts", "seq", F.coalesce(F.col("dir"), F.lit("/")).alias("dir")))).over(peers)
-    mine = F.filter(near, lambda x: (x.ts < F.col("ts")) | (x.seq <= F.col("seq")))
-    with_state = events.withColumn("_near", F.when(is_write, mine)).withColumn("_state", F.when(is_write, F.struct(F.size("_near").alias("rate"), F.size(F.array_distinct(F.transform("_near", lambda x: x.dir))).alias("spread"))))
-    last = F.last("_state", ignorenulls=True).over(Window.partitionBy("actor").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    return with_state.withColumn("_last", last).withColumns({"write_rate": F.coalesce("_last.rate", F.lit(0)), "dir_spread": F.coalesce("_last.spread", F.lit(0))}).drop("_near", "_state", "_last")
+    folder = Window.partitionBy("actor", "_dir").orderBy("ts", "seq")
+    running = Window.partitionBy("actor").orderBy("_at", "_late", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_write = F.coalesce(F.col("op") == "write", F.lit(False))
+    rows = events.repartition("actor").withColumn("_write", is_write.cast("int")).withColumn("_dir", F.when(is_write, F.coalesce("dir", F.lit("/"))))
+    edge = lambda gap: F.when(F.coalesce(gap > window_ms, F.lit(True)), F.col("_write")).otherwise(0)
+    rows = rows.withColumns({"_opens": edge(F.col("ts") - F.lag("ts").over(folder)), "_closes": edge(F.lead("ts").over(folder) - F.col("ts"))})
+    mark = lambda at, late, rate, spread: F.struct(at.alias("_at"), F.lit(late).alias("_late"), rate.alias("_rate"), spread.alias("_spread"))
+    comes = mark(F.col("ts"), 0, F.col("_write"), F.col("_opens"))
+    goes = mark(F.col("ts") + window_ms, 1, -F.col("_write"), -F.col("_closes"))
+    rows = rows.withColumn("_mark", F.explode(F.when(F.col("_write") == 1, F.array(comes, goes)).otherwise(F.array(comes)))).select("*", "_mark.*")
+    now = F.struct(F.sum("_rate").over(running).alias("rate"), F.sum("_spread").over(running).alias("spread"))
+    rows = rows.withColumn("_now", now)
+    rows = rows.withColumn("_last", F.last(F.when((F.col("_write") == 1) & (F.col("_late") == 0), F.col("_now")), ignorenulls=True).over(running)).where("_late = 0")
+    return rows.select(*events.columns, F.coalesce("_last.rate", F.lit(0)).alias("write_rate"), F.coalesce("_last.spread", F.lit(0)).alias("dir_spread"))
 
 
 def condition(kind: str, arg: str) -> Column:

@@ -102,17 +102,20 @@ def dag_first_match(spark, sf_dir):
 
 
 def seg_window_match(spark, sf_dir):
-    e = tagged(events(spark, sf_dir))
-    a = e.where("t1059").select("actor", F.col("seq").alias("first_seq"), F.col("ts_ms").alias("t0"))
-    b = e.where("t1083").select("actor", "seq", "ts_ms")
-    near = a.join(b, "actor").where(f"seq > first_seq and ts_ms - t0 <= {SEGMENT_MS}")
-    return near.groupBy("actor", "first_seq").agg(F.min("seq").alias("next_seq"))
+    """Each start with the next look of its actor, if that lies within the segment window: one ordered pass, no pairs."""
+    after = Window.partitionBy("actor").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    e = tagged(events(spark, sf_dir)).where("t1059 or t1083").select("actor", "seq", "ts_ms", "t1059", F.when(F.col("t1083"), F.struct("seq", "ts_ms")).alias("look"))
+    # input is in order of time, so a look after the next one can't be nearer
+    near = e.withColumn("next", F.first("look", ignorenulls=True).over(after)).where(f"t1059 and next.ts_ms - ts_ms <= {SEGMENT_MS}")
+    return near.select("actor", F.col("seq").alias("first_seq"), F.col("next.seq").alias("next_seq"))
 
 
 def binding_match(spark, sf_dir):
-    e = events(spark, sf_dir)
-    w, x = e.where("op = 'write'").select("object", F.col("seq").alias("write_seq")), e.where("op = 'exec'").select("object", F.col("seq").alias("exec_seq"))
-    return x.join(w, "object").where("write_seq < exec_seq").groupBy("object", "exec_seq").agg(F.max("write_seq").alias("write_seq"))
+    """Each start of an object with the last write to it before: an as-of join as one ordered pass."""
+    before = Window.partitionBy("object").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    e = events(spark, sf_dir).where("op in ('write', 'exec')").select("object", "seq", "op", F.when(F.col("op") == "write", F.col("seq")).alias("write_seq"))
+    last = e.withColumn("write_seq", F.last("write_seq", ignorenulls=True).over(before))
+    return last.where("op = 'exec' and write_seq is not null").select("object", F.col("seq").alias("exec_seq"), "write_seq")
 
 
 GATED = "('write','exec','create','inject','connect')"
