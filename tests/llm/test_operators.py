@@ -315,3 +315,11 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, rows, sf).toPandas()
     assert set(pieces.doc_id) == {r.doc_id for r in rows.select("doc_id").collect()}
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(1, "plain words here", 0), (2, "vile idiot scum", 1)]
+    found = spark.createDataFrame([(i, t) for i, t, _ in rows] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.scored(found, labels, modulus=1, held_out=5, examples=10).toPandas()
+    assert len(got) == 80 and (got.groupby("doc_id").score.nunique() == 1).all() and got.score.between(0, 1).all()

@@ -162,7 +162,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: in
     thin = docs.selectExpr("doc_id", "cast(text as string) as text")
     marked = labels.where(remainder("doc_id", modulus) != held_out).select("doc_id", F.col(label).cast("double").alias("y")).where("y is not null and doc_id is not null")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(examples)
-    sample = sorted(((r.doc_id, r.y, r.text or "") for r in thin.join(F.broadcast(chosen), "doc_id").collect()), key=lambda r: (r[0], r[1], r[2]))[:examples]
+    # repeated ids join more often than once: the first rows in order are taken before anything is collected
+    found = thin.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    sample = [tuple(r) for r in found.orderBy("doc_id", "y", "text").limit(examples).collect()]
     truth = np.array([y for _, y, _ in sample])
     names = choose_terms([x for _, _, x in sample], truth) if 0 < truth.sum() < len(truth) else []
     numbers = {t: i for i, t in enumerate(names)}
