@@ -10,25 +10,29 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from tracewright.operators.labelled import replay_labelled
 from tracewright.operators.replay import replay_bounded, replay_core, replay_scored
 from tracewright.plans import rules as R
-from tracewright.streaming.replay import replay_bounded_stream, replay_scored_stream, replay_stream
+from tracewright.plans.labelled import LabelledPattern, compile_labelled, labelled_tags
+from tracewright.streaming.replay import replay_bounded_stream, replay_labelled_stream, replay_scored_stream, replay_stream
 
-DIALECTS = ("linear", "dag", "bounded", "scored")
+DIALECTS = ("linear", "dag", "bounded", "scored", "labelled")
 
 
 @dataclass(frozen=True)
 class Engine:
     dialect: str
-    rules: list[R.Pattern] | R.ScoredRules
+    rules: list[R.Pattern] | list[LabelledPattern] | R.ScoredRules
 
     @staticmethod
     def of(rules: str | bytes, dialect: str) -> Engine:
-        """An engine of a rule text, or of a binary rule set, which the scored dialect doesn't have."""
+        """An engine of a rule text, or of a binary rule set, which the scored and labelled dialects don't have."""
         if dialect not in DIALECTS:
             raise ValueError(f"unknown dialect {dialect!r}")
         if dialect == "scored":
             return Engine(dialect, R.compile_scored(rules))
+        if dialect == "labelled":
+            return Engine(dialect, compile_labelled(rules))
         dag = dialect != "linear"
         return Engine(dialect, R.decode(rules, dag) if isinstance(rules, bytes) else R.compile_rules(rules, dag))
 
@@ -45,6 +49,8 @@ class Engine:
         """The tags that rules ask for, cut to ``most``, and how many there are."""
         if self.dialect == "scored":
             found: list = sorted({t for p in self.rules.patterns for s in p.steps for t in s.tags})
+        elif self.dialect == "labelled":
+            found = labelled_tags(self.rules)
         else:
             found = R.referenced_tags(self.rules)
         return found[:most], len(found)
@@ -55,5 +61,7 @@ class Engine:
             return replay_scored_stream(events, self.rules, host, **options) if events.isStreaming else replay_scored(events, self.rules)
         if self.dialect == "bounded":
             return (replay_bounded_stream if events.isStreaming else replay_bounded)(events, self.rules, host, **options)
+        if self.dialect == "labelled":
+            return replay_labelled_stream(events, self.rules, host, **options) if events.isStreaming else replay_labelled(events, self.rules, host)
         dag = self.dialect == "dag"
         return replay_stream(events, self.rules, dag, host, **options) if events.isStreaming else replay_core(events, self.rules, dag)

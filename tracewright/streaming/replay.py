@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewright.operators.labelled import LabelledEngine
 from tracewright.operators.replay import BoundedEngine, CoreEngine, ScoredEngine
+from tracewright.plans.labelled import LabelledPattern
 from tracewright.plans.rules import Pattern, ScoredRules
 
 _FOREST = ("up", "size", "value")
@@ -74,6 +76,11 @@ def replay_bounded_stream(events: DataFrame, patterns: list[Pattern], key: str =
     return _stateful(events, lambda: BoundedEngine(patterns, **ceilings), _verdict, "verdict string", key, idle)
 
 
+def replay_labelled_stream(events: DataFrame, patterns: list[LabelledPattern], key: str = "host", idle: int = 0) -> DataFrame:
+    """As ``replay_stream`` for labelled rules of any scope."""
+    return _stateful(events, lambda: LabelledEngine(patterns), _verdict, "verdict string", key, idle)
+
+
 def replay_scored_stream(events: DataFrame, rules: ScoredRules, key: str = "host", idle: int = 0) -> DataFrame:
     """``host, seq, decision, kind, pattern, score, reason, log`` of ``events(host, seq, ts, op, actor, object, attrs)``.
 
