@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.sinks.ship import from_messages
 from tracewright.sources import frames
 from tracewright.sources.evt import read_evt
+from tracewright.sources.ring import read_rings
 
 CORE = "seq long, ts long, op string, actor string, object string, ttps array<int>, verdict string"
 # The golden replays with the verdict expected of each event.
@@ -60,6 +61,7 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evt": read_evt,
     "frames": lambda spark, path: _numbered(frames.normalise(frames.decode(_binary(spark, path)))),
+    "rings": lambda spark, path: _numbered(frames.normalise(frames.decode(read_rings(spark, path).orderBy("path", "frame").select("content")))),
     "messages": lambda spark, path: from_messages(_binary(spark, path)),
     "parquet": lambda spark, path: spark.read.parquet(path),
     "demo": lambda spark, _: _numbered(frames.normalise(frames.decode(demo_frames(spark).orderBy("seq").coalesce(1)))),
@@ -69,7 +71,7 @@ KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def read_events(spark: SparkSession, kind: str, path: str = "") -> DataFrame:
-    """Events of a source: a path for ``evt, frames, messages, parquet``, a count for ``stress``, a name for ``golden``."""
+    """Events of a source: a path for ``evt, frames, rings, messages, parquet``, a count for ``stress``, a name for ``golden``."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind of source {kind!r}; known are {', '.join(KINDS)}")
     return KINDS[kind](spark, path)
