@@ -317,6 +317,25 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
+@pytest.mark.parametrize("part", [20, 1500])
+def test_embeddings_in_crowded_cells(spark, monkeypatch, part):
+    monkeypatch.setattr(embedding_dedup, "PART", part)
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(6, 24))
+    m = (centres[r.integers(0, 6, 400)] + r.normal(size=(400, 24)) * r.choice([0.02, 0.1, 0.15], 400)[:, None]).astype(np.float32)
+    m[9] = m[5] = m[4]
+    u = m.astype(float) / np.sqrt((m.astype(float) ** 2).sum(1, keepdims=True))
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.linked(rows).toPandas().sort_values("vec_id")
+    assert near.sum() > 10_000 and got.n_links.tolist() == near.sum(1).tolist()
+    comp = np.arange(400)
+    for _ in range(20):
+        comp = np.array([min([comp[i], *comp[near[i]]]) for i in range(400)])
+    assert got.component_id.tolist() == comp.tolist()
+
+
 def test_toxicity_sample_is_bounded(spark):
     rows = [(1, "plain words here", 0), (2, "vile idiot scum", 1)]
     found = spark.createDataFrame([(i, t) for i, t, _ in rows] * 40, "doc_id long, text string")

@@ -3,9 +3,9 @@
 Unit vectors u, v with cosine at least c have squared distance at most 2 - 2c. After a fixed rotation, the
 dimensions are split into ``BLOCKS`` blocks; in some block the squared distance is at most that block's share
 of the budget. Each block is range-joined over a grid on its leading dimensions: a vector is at home in one
-cell and visits every cell within the block's radius, so every close pair meets where one of them is at home.
-A pair counts only in the first block whose budget it meets, hence exactly once each way, and is verified by
-the cosine in double precision. Tasks return links counted per vector and a spanning forest, never pairs.
+cell and visits the later cells within the block's radius, so a close pair meets at the home of the later one,
+or at the home of both, and nowhere else. A pair counts only in the first block whose budget it meets, hence
+exactly once, and is verified by the cosine in double precision. Tasks return links counted per vector and a spanning forest, never pairs.
 
 Equal vectors are merged first and weigh as many as they stand for. A cell with very many vectors is split
 into a grid of parts of both sides. Vectors that are null, zero or hold null or non-finite components, and
@@ -49,7 +49,7 @@ def bounds(size: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
 
 
 def cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-    """Of rotated unit vectors: rows, block, cells (GRID numbers) and whether the row is at home there."""
+    """Of rotated unit vectors: rows, block, cells (GRID numbers) and whether the row is at home there; no cell is before its home."""
     size = turned.shape[1]
     for b, (lo, hi) in enumerate(bounds(size)):
         radius = np.sqrt((2 - 2 * cosine) * (hi - lo) / size) + SLACK
@@ -58,10 +58,14 @@ def cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, int,
         home, first, last = (np.floor(y / width).astype(np.int64) for y in (x, x - radius, x + radius))
         for step in np.ndindex(*[2] * x.shape[1]):
             at = first + np.array(step)
-            rows = np.flatnonzero((at <= last).all(1))
+            away = at - home
+            ahead = np.zeros(len(x), np.int64)
+            for d in away.T:  # the first dimension that differs decides
+                ahead = np.where(ahead == 0, np.sign(d), ahead)
+            rows = np.flatnonzero((at <= last).all(1) & (ahead >= 0))
             cell = np.zeros((len(rows), GRID), np.int64)
             cell[:, : x.shape[1]] = at[rows]
-            yield rows, b, cell, (at[rows] == home[rows]).all(1)
+            yield rows, b, cell, ahead[rows] == 0
 
 
 def _first_block(d: np.ndarray, cosine: float) -> np.ndarray:
@@ -73,14 +77,16 @@ def _first_block(d: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def _joined(found: dict[str, np.ndarray], cosine: float) -> list[tuple[int, int, int]]:
-    """Links of one part of a cell: per vector at home the weight it links, and a spanning forest.
+    """Links of one part of a cell: per vector the weight it links, and a spanning forest.
 
-    ``role``: 0 a vector at home that is also a partner, 1 only at home, 2 only a partner.
+    ``role``: 0 a vector at home that is also a partner, 1 one at home, 2 a visitor as a partner, 3 one at home as a
+    partner. Two that are both at home meet in either order, and count where the lesser id comes first.
     """
     home, other = found["role"] < 2, found["role"] != 1
+    resident = found["role"][other] != 2
     if not home.any() or not other.any():
         return []
-    block, ids, ids_b, weight = int(found["block"][0]), found["rep"][home], found["rep"][other], found["weight"][other]
+    block, ids, ids_b, own_weight, weight = int(found["block"][0]), found["rep"][home], found["rep"][other], found["weight"][home], found["weight"][other]
     ua, ub = (unit(np.array(found["vector"][side].tolist(), float)) for side in (home, other))
     turn = rotation(ua.shape[1])
     ra, rb = ua @ turn, ub @ turn
@@ -107,22 +113,23 @@ def _joined(found: dict[str, np.ndarray], cosine: float) -> list[tuple[int, int,
     rows: list[tuple[int, int, int]] = []
     for at in range(0, len(ua), 256):
         x = ra[at : at + 256, lo:hi]
-        i, j = np.nonzero(((x * x).sum(1)[:, None] + square_b - 2 * x @ xb.T <= limit) & (ids[at : at + 256][:, None] != ids_b))
+        i, j = np.nonzero(((x * x).sum(1)[:, None] + square_b - 2 * x @ xb.T <= limit) & np.where(resident, ids[at : at + 256][:, None] < ids_b, ids[at : at + 256][:, None] != ids_b))
         for k in range(0, len(i), 50_000):
             p, q = i[k : k + 50_000] + at, j[k : k + 50_000]
             good = (ua[p] * ub[q]).sum(1) >= cosine
             p, q = p[good], q[good]
             good = _first_block(turned(0, ua, p) - turned(1, ub, q), cosine) == block
             p, q = p[good], q[good]
-            for h, n in zip(*(z.tolist() for z in np.unique(p, return_counts=True)), strict=True):
-                own = int(ids[h])
-                partners = q[np.searchsorted(p, h) : np.searchsorted(p, h) + n]
-                rows.append((own, own, int(weight[partners].sum())))
-                for y in ids_b[partners].tolist():
-                    a, b = root(own), root(y)
-                    if a != b:
-                        group[a] = b
-                        rows.append((own, y, 0))
+            for side, w in ((ids[p], weight[q]), (ids_b[q], own_weight[p])):
+                of, where = np.unique(side, return_inverse=True)
+                total = np.zeros(len(of), np.int64)
+                np.add.at(total, where, w)
+                rows += [(i, i, n) for i, n in zip(of.tolist(), total.tolist(), strict=True)]
+            for u, v in zip(ids[p].tolist(), ids_b[q].tolist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    group[a] = b
+                    rows.append((u, v, 0))
     return rows
 
 
@@ -162,7 +169,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", e
     split = placed.join(small(crowded), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # homes of part i meet the rows of part j in (i, j); in an undivided cell one row serves both sides
     own, row = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("own"), "struct(cast(%s as long) as i, cast(%s as long) as j, %s as role)"
-    grid = f"concat(if(home, transform(sequence(0, parts - 1), k -> {row % ('own', 'k', '1')}), array()), transform(sequence(0, parts - 1), k -> {row % ('k', 'own', '2')}))"
+    grid = f"concat(if(home, transform(sequence(0, parts - 1), k -> {row % ('own', 'k', '1')}), array()), transform(sequence(0, parts - 1), k -> {row % ('k', 'own', 'if(home, 3, 2)')}))"
     roles = F.expr(f"if(parts = 1, array({row % ('0', '0', 'if(home, 0, 2)')}), {grid})")
     both = split.withColumn("own", own).withColumn("at", F.explode(roles)).select(*key, "at.*", "rep", "weight", "vector")
 
