@@ -342,3 +342,20 @@ def test_toxicity_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     got = toxicity.scored(found, labels, modulus=1, held_out=5, examples=10).toPandas()
     assert len(got) == 80 and (got.groupby("doc_id").score.nunique() == 1).all() and got.score.between(0, 1).all()
+
+
+@pytest.mark.parametrize(("name", "blank"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_cached_ids_are_exact(monkeypatch, name, blank):
+    from tokenizers import Tokenizer
+
+    from tracewright.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 500)
+    r = random.Random(3)
+    parts = [*"ab, .0\n\t\x1c 　é!'<|>", "<|endoftext|>", "  ", "\n\n", "don't", "THE"]
+    found = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(4000)] + ["x" * 500 + " " + "y," * 200, "a \x1cb", "a\tb  c", "a \tb", " ", "plain words, and\nlines"]
+    plain, cached = Tokenizer.from_file(vocabulary(name)), tokens.Encoder(vocabulary(name), blank)
+    plain.encode_special_tokens = True
+    for at in range(0, len(found), 512):
+        part = found[at : at + 512]
+        assert cached.encode(part) == [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(part, add_special_tokens=False)]

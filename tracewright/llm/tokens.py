@@ -19,6 +19,16 @@ _TAIL = ".,!?;:*$&%#)"
 _LOADED: dict[tuple, Encoder] = {}
 
 
+class Cache(dict):
+    """Words to ids; a word that isn't here is noted in ``missing``."""
+
+    def __init__(self):
+        self.missing: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.missing.add(word)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes. ``blank``: whether a word's ids depend on the blank before it."""
 
@@ -31,11 +41,15 @@ class Encoder:
         self.blank = blank
         self.mark = self.whole("\n" if blank else "0")
         (self.mark_id,) = np.frombuffer(self.mark, "<u4").tolist()
-        self.new: dict[str, bytes] = {}
+        self.new = Cache()
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of many words by few calls: joined by a mark that is a token of its own and in none of the words."""
@@ -44,7 +58,7 @@ class Encoder:
         rest = [w for w in words if w not in out]
         for i in range(0, len(rest), 512):
             part = rest[i : i + 512]
-            ids = np.array(self.tokenizer.encode(mark.join(part) + mark, add_special_tokens=False).ids, "<u4")
+            ids = self._ids(mark.join(part) + mark)
             ends = np.flatnonzero(ids == self.mark_id)
             assert len(ends) == len(part), "a mark was merged with a word"
             raw, at = ids.tobytes(), [0, *(ends + 1).tolist()]
@@ -54,7 +68,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Put words into the cache; a word that ends in punctuation after a letter is its two parts in a row."""
         if len(self.new) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
+            self.new, self.old = Cache(), self.new
         missing: list[str] = []
         parts: list[tuple[str, str, str]] = []
         for w in words:
@@ -77,35 +91,34 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
-        get, found, waiting, missing = self.new.get, [], [], set()
+        get, found, waiting = self.new.__getitem__, [], []
         for text in batch:
-            if not text or _odd(text):
+            words = text.split()
+            if not words or _odd(text, words):
                 found.append([self.whole(text)] if text else [])
                 continue
-            words = _with_blanks(text) if self.blank else text.replace("\n", " ").split(" ")
+            if self.blank:
+                words = _with_blanks(text)
             ids = list(map(get, words))
             if None in ids:
-                missing.update(w for w, x in zip(words, ids) if x is None)  # noqa: B905
                 waiting.append((len(found), words))
             found.append(ids)
-        if missing:
-            long = [w for w in missing if len(w) > LONG_WORD]
+        if waiting:
+            missing, self.new.missing = self.new.missing, set()
+            # the cache may be a fresh one after this, so what was found above is kept
             self._learn(list(missing))
             for i, words in waiting:
-                ids = found[i]
-                for k, x in enumerate(ids):
-                    if x is None:
-                        ids[k] = self.new[words[k]]
-            for w in long:
-                del self.new[w]
+                ids, get = found[i], self.new.__getitem__
+                found[i] = [get(w) if x is None else x for w, x in zip(words, ids)]  # noqa: B905
+            for w in missing:
+                if len(w) > LONG_WORD:
+                    del self.new[w]
         return list(map(b"".join, found))
 
 
-def _odd(text: str) -> bool:
-    """Whether the text has white space other than single blanks and line feeds between words."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-        return True
-    return len(text.split()) != text.count(" ") + text.count("\n") + 1
+def _odd(text: str, words: list[str]) -> bool:
+    """Whether a text of these words has other white space than one blank or line feed between any two."""
+    return len(" ".join(words)) != len(text) or len(words) != text.count(" ") + text.count("\n") + 1
 
 
 def _with_blanks(text: str) -> list[str]:
