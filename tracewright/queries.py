@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.tagging import rate_state
-from tracewright.model import from_telemetry, op_dimension, tagged
+from tracewright.model import CAUSAL, from_telemetry, op_dimension, tagged
 from tracewright.operators.graph import connected_components
 from tracewright.operators.replay import replay_bounded, replay_core, replay_scored
 from tracewright.plans.rules import compile_rules, compile_scored, referenced_tags
@@ -163,6 +163,26 @@ def storyline_size_topk(spark, sf_dir):
     return storyline_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(10)
 
 
+def causal_links(spark, sf_dir, target: str = "object") -> DataFrame:
+    """An edge for every causal event, from its actor to what it touched: its object, or ``k``, which actors share."""
+    e = events(spark, sf_dir).where(F.col("op").isin(*CAUSAL))
+    return e.select(F.concat(F.lit("proc:"), "actor").alias("src"), F.concat(F.lit("file:"), target).alias("dst"))
+
+
+def causal_components(spark, sf_dir):
+    """Storylines over all causal events and their own objects."""
+    return connected_components(causal_links(spark, sf_dir))
+
+
+def shared_components(spark, sf_dir):
+    """Storylines over all causal events where actors meet in a target: these may be as large as the input."""
+    return connected_components(causal_links(spark, sf_dir, "k"))
+
+
+def shared_size_topk(spark, sf_dir):
+    return shared_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(10)
+
+
 def referenced_ttps(spark, sf_dir):
     return spark.createDataFrame([(t,) for t in referenced_tags(compile_rules(DAG, True))], "ttp int")
 
@@ -218,7 +238,7 @@ def replay_verdicts(spark, sf_dir):
 
 ALL = (
     normalize_events, op_dimension_join, tag_events, rate_and_spread, linear_first_match, dag_first_match, seg_window_match, binding_match, disarm_gate, event_verdict, order_bonus,
-    kill_chain_score, provenance_edges, storyline_components, storyline_size_topk, referenced_ttps, tagger_prune, arm_commands, batch_deny, rarity_baseline, sequence_gaps,
+    kill_chain_score, provenance_edges, storyline_components, storyline_size_topk, causal_components, shared_components, shared_size_topk, referenced_ttps, tagger_prune, arm_commands, batch_deny, rarity_baseline, sequence_gaps,
     linear_replay, dag_replay, bounded_replay, scored_replay, replay_verdicts,
 )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.engine import Engine
 from tracewright.operators import retention
-from tracewright.queries import _E, GATED, META, _chain, _commits, _core_events, _per_actor, _steps, arm_commands, events, kill_chain_score
+from tracewright.queries import _E, GATED, META, _chain, _commits, _core_events, _per_actor, _steps, arm_commands, causal_links, events, kill_chain_score
 
 LABELLED = """
 pattern encrypt_any_order
@@ -28,6 +28,8 @@ end
 """
 HOUR = 3_600_000
 ALERT = 12.0
+#: Targets that more actors than this touch, and actors that touch more targets, are hubs.
+HUB = 500
 
 
 def labelled_denies(spark, sf_dir):
@@ -78,6 +80,15 @@ def hub_links(spark, sf_dir):
     return weak.selectExpr("cast(src as long) as src", "cast(dst as long) as dst")
 
 
+def causal_hub_components(spark, sf_dir):
+    """The hub split of all causal events, over targets that actors share."""
+    return retention.hub_split(causal_links(spark, sf_dir, "k"), HUB)[0]
+
+
+def causal_hub_links(spark, sf_dir):
+    return retention.hub_split(causal_links(spark, sf_dir, "k"), HUB)[1]
+
+
 def ship_order(spark, sf_dir):
     e = events(spark, sf_dir).select("seq", F.expr("actor % 8").alias("host"), F.expr("int(k % 4)").alias("tier"), F.expr("seq div 1000").alias("batch"))
     return retention.shipped(e, 700, "batch").select("seq", F.col("number").cast("long").alias("number"), F.col("place").cast("long").alias("place"), "dropped")
@@ -100,7 +111,7 @@ def live_leases(spark, sf_dir):
     return retention.live_leases(d, now, 5).select("host", "identity", "until", "refused")
 
 
-ALL = (labelled_denies, labelled_bindings, storyline_tiers, step_sketches, working_set, node_budget, hub_components, hub_links, ship_order, leased_reads, live_leases)
+ALL = (labelled_denies, labelled_bindings, storyline_tiers, step_sketches, working_set, node_budget, hub_components, hub_links, causal_hub_components, causal_hub_links, ship_order, leased_reads, live_leases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
