@@ -359,3 +359,32 @@ def test_cached_ids_are_exact(monkeypatch, name, blank):
     for at in range(0, len(found), 512):
         part = found[at : at + 512]
         assert cached.encode(part) == [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(part, add_special_tokens=False)]
+
+
+def test_toxicity_weighs_all_terms(spark):
+    """Score's evidence against brute force over every term: texts without any telling term too."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    common = [word() for _ in range(30)]
+    texts = [" ".join([*r.sample(common, 9), *(word() for _ in range(r.randint(1, 25)))] + (["idiot"] if i % 9 == 0 else [])) for i in range(260)] + ["", None, "QQQQ 9999"]
+    texts += texts[:3] + [texts[5] + " zzzz1 zzzz1 zzzz2"] * 2
+    truth = {i: int(i % 9 == 0) for i in range(200)}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    rows = toxicity.scored(docs(spark, texts), labels, modulus=1, held_out=5).toPandas().sort_values("doc_id")
+    bags = [collections.Counter(f for w in (t or "").split() for f in toxicity.forms(w)) for t in texts]
+    df = collections.Counter(t for b in bags for t in b)
+    n, n1 = len(truth), sum(truth.values())
+
+    def weight(t):
+        a, b = sum(t in bags[i] for i in truth), sum(t in bags[i] for i in truth if truth[i])
+        chi = n * (b * n - a * n1) ** 2 / (a * (n - a) * n1 * (n - n1)) if 0 < a < n else 0
+        return (np.log((len(texts) + 1) / (df[t] + 1)) + 1) * np.sqrt(1 + chi)
+
+    weights = {t: weight(t) for t in df}
+    vectors = [{t: (1 + np.log(c)) * weights[t] for t, c in b.items()} for b in bags]
+    norms = [np.sqrt(sum(x * x for x in v.values())) or 1 for v in vectors]
+    for i, v in enumerate(vectors):
+        cos = sorted((sum(x * vectors[j].get(t, 0) for t, x in v.items()) / norms[i] / norms[j] for j in truth), reverse=True)[:3]
+        got = [float(e.split(":")[1]) for e in rows.evidence.iloc[i].split(", ") if e]
+        assert np.allclose(got, [c for c in cos if c > 0], atol=2e-4), i
+    assert (rows.evidence != "").sum() == len(texts) - 3

@@ -1,38 +1,47 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, with a block-max inverted index.
+"""Toxicity by the nearest labelled examples under class-weighted TF-IDF cosine over all terms, with a block-max inverted index.
 
 A bounded sample of labelled rows (``EXAMPLES``, the least hashes of their ids) gives the examples. Terms are
-words and word beginnings of four to six letters; those whose presence differs most between toxic and other
-examples (chi-square, at most ``TERMS``) are kept. Their document frequencies are counted over all documents.
-The index keeps examples in blocks, and for each term and block the largest weight: the sum of these bounds
-a block's best cosine, so blocks are scored in falling order of the bound, and scoring stops once the bound
-falls below the k-th best cosine found. The result is the exact list of nearest examples. Votes are weighted
-by distance and calibrated by isotonic regression on leave-one-out votes of the examples.
-
-Null texts are empty. A text without any of the terms, empty ones too, gets the share of toxic rows among
-such examples. Ties go to the example that comes first. Without labels of both
-kinds there are no terms, and every score is the share of toxic examples; 0 if there are no examples.
+words and word beginnings of four to six letters, all of them. A term's weight is its TF-IDF times sqrt(1 + chi-square
+of its presence in toxic and other examples), 1 for terms in no example: telling terms weigh more, none is left
+out. (Plain TF-IDF neighbours tell the classes apart far less where few examples share little but those terms.)
+Document frequencies are counted over all documents, and a text's norm is over all of its terms, those in no example too: these are counted and joined in
+Spark, as they aren't bounded. The index has posting lists for the examples' terms, cut into blocks of examples
+with the largest weight in each. Terms that very many examples share are dense rows, multiplied for many texts
+at once; their sum in a block plus the block's maxima of the other terms bounds its best product, and blocks
+whose bound falls below the k-th best found aren't scored. The result is the exact list of nearest examples.
+Votes are weighted by distance and calibrated by isotonic regression on leave-one-out votes of the examples.
+
+Null texts are empty. A text that shares no term with an example, empty ones too, gets the share of toxic rows
+among such examples. Ties, up to 1e-6, go to the example that comes first. If there are no examples, every score is 0.
 Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.calibration import calibrated, isotonic
 from tracewright.llm.common import remainder, texts, tuned
 from tracewright.storage import stored
 
-#: Labelled rows at most, and terms at most: the bounds of the model that is sent to executors.
+#: Labelled rows at most: the bound of the model that is sent to executors.
 EXAMPLES = 4096
-TERMS = 512
 NEIGHBOURS = 25
 BLOCK = 64
+#: Terms in more than one of so many examples are dense rows.
+DENSE = 32
+#: Texts scored at once, rows that a task holds, and words that a task knows.
+TEXTS = 128
+HELD = 200_000
+WORDS = 400_000
 _EDGE = "\"'.,;:!?()[]{}*#$%&-_|<>"
 
 
@@ -43,117 +52,216 @@ def forms(word: str) -> tuple[str, ...]:
 
 
 class Terms(dict):
-    """Word to the numbers of its terms, learned as words come; emptied when it has very many."""
+    """Word to the numbers of its terms, as learned; words that don't fit any more are looked up each time."""
 
     def __init__(self, index: dict[str, int]):
         self.index = index
+        self.other: dict[str, list[str]] = {}
+        self.late: list[str] = []
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = tuple(self.index[t] for t in forms(word) if t in self.index)
-        return found
+        get = self.index.get
+        found, other = [], []
+        for t in forms(word):
+            i = get(t)
+            if i is None:
+                other.append(t)
+            else:
+                found.append(i)
+        if len(self) < WORDS:
+            self[word] = tuple(found)
+            if other:
+                self.other[word] = other
+        else:
+            self.late += other
+        return tuple(found)
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Numbers of the terms and their counts, and counts of the terms without a number."""
+        self.late.clear()
+        words = text.split()
+        inside, n = np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64), return_counts=True)
+        other = self.other
+        return inside, n, Counter(chain(self.late, chain.from_iterable(other[w] for w in words if w in other)))
+
+
+def class_weight(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
+    """Of each term sqrt(1 + chi-square of its presence against the label), so at least 1: no term is left out."""
+    seen, bad = np.zeros(terms), np.zeros(terms)
+    for v, y in zip(vectors, labels.tolist(), strict=True):
+        seen[v[0]] += 1
+        bad[v[0]] += y > 0
+    n, n1 = len(labels), float((labels > 0).sum())
+    chance = seen * (n - seen) * n1 * (n - n1)
+    return np.sqrt(1 + n * (bad * n - seen * n1) ** 2 / np.maximum(chance, 1))
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of ``size`` from each ``lo`` on."""
+    return np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+
 
-    def count(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in Counter(text.split()).items():
-            for t in self[word]:
-                out[t] = out.get(t, 0) + n
+def _pair(vector: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple:
+    """Terms and counts."""
+    return (list(vector), list(vector.values())) if isinstance(vector, dict) else vector
+
+
+class _Rows:
+    """``rows[terms]``: their weights over all positions."""
+
+    def __init__(self, index: BlockMaxIndex):
+        self.index = index
+
+    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
+        x, out = self.index, np.zeros((len(terms), len(self.index.order)))
+        for i, t in enumerate(terms):
+            at = slice(x.start[t], x.start[t + 1])
+            out[i, x.position[at]] = x.weight[at]
         return out
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors. ``bound[term, block]`` is the term's largest weight in a block."""
+    """Examples as unit TF-IDF vectors in posting lists. A list is in order of position; its run in a block has its largest weight."""
 
-    def __init__(self, idf: np.ndarray, vectors: list[dict[int, int]], labels: np.ndarray):
+    def __init__(self, idf: np.ndarray, vectors: list, labels: np.ndarray):
         self.idf = idf
-        weights = np.zeros((len(idf), -(-max(len(vectors), 1) // BLOCK) * BLOCK))
-        for i, v in enumerate(vectors):
-            t, w = self.weigh(list(v), list(v.values()))
-            weights[t, i] = w
+        places = -(-max(len(vectors), 1) // BLOCK) * BLOCK
         # examples alike in their heaviest term share blocks, so that bounds are tight
-        heavy = np.where(weights.max(0, initial=0) > 0, weights.argmax(0) if len(idf) else 0, len(idf))
-        heavy[len(vectors) :] = len(idf) + 1
+        heavy = np.full(places, len(idf) + 1)
+        weighed = [self.weigh(*_pair(v)) for v in vectors]
+        for i, (t, w) in enumerate(weighed):
+            heavy[i] = t[w.argmax()] if len(t) else len(idf)
         self.order = np.argsort(heavy, kind="stable")
-        self.weights = np.ascontiguousarray(weights[:, self.order])
-        self.labels = np.concatenate([labels, np.zeros(weights.shape[1] - len(vectors))])[self.order]
+        place = np.argsort(self.order)
+        self.labels = np.concatenate([labels, np.zeros(places - len(vectors))])[self.order]
         self.real = self.order < len(vectors)
-        self.bound = self.weights.reshape(len(idf), -1, BLOCK).max(2) if len(idf) else np.zeros((0, weights.shape[1] // BLOCK))
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in weighed)])
+        position = np.repeat(place[: len(vectors)], [len(t) for t, _ in weighed])
+        by = np.lexsort((position, term))
+        term, self.position = term[by], position[by].astype(np.int32)
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in weighed)])[by].astype(np.float32)
+        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
+        self._build()
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("idf", "order", "labels", "real", "position", "weight", "start")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        """What follows from the posting lists: dense rows and runs, which aren't sent."""
+        size = np.diff(self.start)
+        term = np.repeat(np.arange(len(self.idf)), size)
+        often = size * DENSE > self.real.sum()
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), len(self.order)), np.float32)
+        in_row = self.row[term]
+        self.dense[in_row[in_row >= 0], self.position[in_row >= 0]] = self.weight[in_row >= 0]
+        # runs: a term's postings in one block
+        block = self.position // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.run_at = np.flatnonzero(new)
+        self.run_size = np.diff(np.append(self.run_at, len(term)))
+        self.run_block = block[self.run_at]
+        self.run_max = np.maximum.reduceat(self.weight, self.run_at) if len(term) else np.zeros(0, np.float32)
+        self.runs = np.searchsorted(self.run_at, self.start)
+        self.weights = _Rows(self)
 
     def weigh(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        t, w, square = self.weigh_raw(terms, counts)
+        return t, w / (np.sqrt(square) or 1.0)
+
+    def weigh_raw(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms, their weights, and the sum of the weights' squares."""
         t = np.array(terms, np.int64)
         w = (1 + np.log(np.array(counts, float))) * self.idf[t]
-        return t, w / (np.sqrt(w @ w) or 1.0)
+        return t, w, float(w @ w)
 
     def nearest(self, terms: list[int], counts: list[int], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with any term in common."""
-        t, q = self.weigh(terms, counts)
-        bound = q @ self.bound[t]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        step, at = 4, 0
-        while at < len(order) and bound[order[at]] > 0:
-            blocks = order[at : at + step]
-            if len(best) >= k:
-                blocks = blocks[bound[blocks] + 1e-12 >= best[k - 1]]
-                if not len(blocks):
-                    break
-            columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cos = q @ self.weights[np.ix_(t, columns)]
-            hit = (cos > 0) & (columns != skip)
-            best_at, best = np.concatenate([best_at, columns[hit]]), np.concatenate([best, cos[hit]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-            at, step = at + len(blocks), 2 * step
-        return best_at, best
+        (found,) = self.search([self.weigh(terms, counts)], k, [skip])
+        return found
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query of terms and weights: positions and products of the k best examples."""
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (t, q) in enumerate(queries):
+            row = self.row[t]
+            asked[i, row[row >= 0]] = q[row >= 0]
+        known = asked @ self.dense
+        return [self._best(t, q, known[i], k, skips[i] if skips else -1) for i, (t, q) in enumerate(queries)]
+
+    def _best(self, t: np.ndarray, q: np.ndarray, known: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.row[t] < 0
+        t, q = t[rare], q[rare]
+        size = self.runs[t + 1] - self.runs[t]
+        run, q = _ranges(self.runs[t], size), np.repeat(q, size)
+        block = self.run_block[run]
+        blocks = len(known) // BLOCK
+        bound = np.bincount(block, q * self.run_max[run], blocks) + known.reshape(blocks, BLOCK).max(1) + 1e-5
+        score, done = known.astype(float), np.zeros(blocks, bool)
+        if 0 <= skip:
+            score[skip] = 0
+
+        def add(wanted: np.ndarray) -> None:
+            some = wanted[block]
+            size = self.run_size[run[some]]
+            at = _ranges(self.run_at[run[some]], size)
+            found = np.bincount(self.position[at], np.repeat(q[some], size) * self.weight[at], len(known))
+            score[:] += found
+            done[wanted] = True
+            if 0 <= skip:
+                score[skip] = 0
+
+        first = np.zeros(blocks, bool)
+        first[np.argpartition(-bound, 7)[:8] if blocks > 8 else slice(None)] = True
+        add(first)
+        if not done.all():
+            seen = score[np.repeat(done, BLOCK)]
+            least = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
+            if (rest := ~done & (bound >= least)).any():
+                add(rest)
+        score[np.repeat(~done, BLOCK)] = 0
+        score = np.round(score, 6)
+        score[score <= 0] = 0
+        cut = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+        at = np.flatnonzero((score >= cut) & (score > 0))
+        at = at[np.lexsort((at, -score[at]))][:k]
+        return at, score[at]
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
-        w = 1 / (1.05 - cos)
+        w = 1 / (1.05 - np.minimum(cos, 1))
         return float(w @ self.labels[at] / w.sum())
 
 
 class Model:
-    def __init__(self, index: BlockMaxIndex, vectors: list[dict[int, int]], labels: np.ndarray):
+    def __init__(self, index: BlockMaxIndex, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.index = index
         place = np.argsort(index.order)
-        bare = np.array([not v for v in vectors], bool)
-        self.base = float((labels[bare].sum() + 0.5 * labels.mean()) / (bare.sum() + 0.5)) if len(labels) else 0.0
-        votes, truth = [], []
-        for i, v in enumerate(vectors):
-            if v:
-                at, cos = index.nearest(list(v), list(v.values()), skip=int(place[i]))
+        bare, votes, truth = np.ones(len(vectors), bool), [], []
+        for lo in range(0, len(vectors), TEXTS):
+            some = range(lo, min(lo + TEXTS, len(vectors)))
+            found = index.search([index.weigh(*vectors[i]) for i in some], NEIGHBOURS, [int(place[i]) for i in some])
+            for i, (at, cos) in zip(some, found, strict=True):
                 if len(at):
+                    bare[i] = False
                     votes.append(index.vote(at, cos))
                     truth.append(labels[i])
+        self.base = float((labels[bare].sum() + 0.5 * labels.mean()) / (bare.sum() + 0.5)) if len(labels) else 0.0
         self.points = isotonic(np.array(votes), np.array(truth)) if votes else (np.array([0.0]), np.array([0.0]))
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and the positions and cosines of the evidence."""
-        if not terms:
-            return self.base, [], []
-        at, cos = self.index.nearest(terms, counts)
+    def score(self, at: np.ndarray, cos: np.ndarray) -> float:
+        """Calibrated score from the nearest examples."""
         if not len(at):
-            return self.base, [], []
-        return float(calibrated(self.points, np.array([self.index.vote(at, cos)]))[0]), at[:3].tolist(), cos[:3].tolist()
-
-
-def choose_terms(found: list[str], labels: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms by chi-square of their presence against the label; those by chance alone are left out."""
-    seen: Counter = Counter()
-    bad: Counter = Counter()
-    for text, y in zip(found, labels.tolist(), strict=True):
-        here = {t for w in set(text.split()) for t in forms(w)}
-        seen.update(here)
-        if y:
-            bad.update(here)
-    n, n1 = len(labels), labels.sum()
-    scale = []
-    for t, a in seen.items():
-        if a >= 5 and (b := bad.get(t, 0)) / a > n1 / n:
-            d = n * (b * (n - n1 - a + b) - (a - b) * (n1 - b)) ** 2 / max(a * (n - a) * n1 * (n - n1), 1)
-            if d > 25:
-                scale.append((-d, t))
-    return [t for _, t in sorted(scale)[:most]]
+            return self.base
+        return float(calibrated(self.points, np.array([self.index.vote(at, cos)]))[0])
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, examples: int = EXAMPLES) -> DataFrame:
@@ -166,33 +274,88 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: in
     found = thin.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
     sample = [tuple(r) for r in found.orderBy("doc_id", "y", "text").limit(examples).collect()]
     truth = np.array([y for _, y, _ in sample])
-    names = choose_terms([x for _, _, x in sample], truth) if 0 < truth.sum() < len(truth) else []
-    numbers = {t: i for i, t in enumerate(names)}
+    names = sorted({t for _, _, x in sample for w in set(x.split()) for t in forms(w)})
+    own = {t: i for i, t in enumerate(names)}
+    numbers = spark.sparkContext.broadcast(own)
     cache: list[Terms] = []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache or cache.append(Terms(numbers))
+        """Documents with each numbered term, as ``(null, number, documents)``; other terms as ``(text, term, count)``."""
+        cache or cache.append(Terms(numbers.value))
+        seen = np.zeros(len(numbers.value), np.int64)
+        of, term, n = [], [], []
+
+        def held() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(term, pa.int64()), pa.array(n, pa.int32())], names=["of", "term", "n"])
+            for x in (of, term, n):
+                x.clear()
+            return out
+
         for batch in batches:
-            found = [cache[0].count(x) for x in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            for x in texts(batch, "text"):
+                inside, _, other = cache[0].count(x)
+                seen[inside] += 1
+                if other:
+                    of += [_key(x)] * len(other)
+                    term += map(_key, other)
+                    n += other.values()
+                    if len(n) > HELD:
+                        yield held()
+        at = np.flatnonzero(seen)
+        of += [None] * len(at)
+        term += at.tolist()
+        n += seen[at].tolist()
+        yield held()
 
-    kind = next(f for f in thin.schema if f.name == "doc_id").dataType.simpleString()
-    counted = stored(thin.mapInArrow(count, f"doc_id {kind}, terms array<int>, counts array<int>"), "terms")
+    counted = stored(thin.select("text").mapInArrow(count, "of long, term long, n int"), "terms")
     frequency = np.zeros(len(names))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a term
-        frequency[r[0]] = r[1]
-    idf = np.log((counted.count() + 1) / (frequency + 1)) + 1
-    vectors = [Terms(numbers).count(x) for _, _, x in sample]
-    model = Model(BlockMaxIndex(idf, vectors, truth), vectors, truth)
+    for t, n in counted.where("of is null").groupBy("term").agg(F.sum("n")).collect():  # a row a term of the sample
+        frequency[t] = n
+    total = docs.count()
+    # terms of no example: they only count in a text's norm; equal texts have one
+    other = counted.where("of is not null").withColumn("documents", F.count("*").over(Window.partitionBy("term")))
+    weight = (1 + F.log(F.col("n"))) * (F.log(F.lit(total + 1) / (F.col("documents") + 1)) + 1)
+    rest = other.groupBy("of").agg(F.sum(weight * weight).alias("sum"))
+    idf = np.log((total + 1) / (frequency + 1)) + 1
+    known = Terms(own)
+    vectors = [known.count(x)[:2] for _, _, x in sample]
+    model = Model(BlockMaxIndex(idf * class_weight(vectors, truth, len(names)), vectors, truth), vectors, truth)
     ids = np.array([str(r[0]) for r in sample])
     shared = spark.sparkContext.broadcast((model, ids))
+    kind = next(f for f in thin.schema if f.name == "doc_id").dataType.simpleString()
+    floats = pa.list_(pa.float32())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache or cache.append(Terms(numbers.value))
+        index = shared.value[0].index
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(lo, TEXTS)
+                found, of, square, queries = texts(batch, "text"), [], [], []
+                for x in found:
+                    inside, n, other = cache[0].count(x)
+                    t, w, s = index.weigh_raw(inside, n)
+                    of.append(_key(x) if other else None)
+                    square.append(s)
+                    queries.append((t, w / (np.sqrt(s) or 1.0)))
+                near = index.search(queries)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of, pa.int64()), pa.array(square, pa.float64()), pa.array([a for a, _ in near], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in near], floats)], names=["doc_id", "of", "square", "at", "cos"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = shared.value
         for batch in batches:
-            out = [model.score(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            evidence = [", ".join(f"{ids[model.index.order[a]]}:{c:.4f}" for a, c in zip(at, cos, strict=True)) for _, at, cos in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
+            scores, evidence = [], []
+            rows = (batch.column(i).to_pylist() for i in range(1, 5))
+            for square, at, cos, rest in zip(*rows, strict=True):
+                at, cos = np.array(at, np.int64), np.array(cos, float) * np.sqrt(square / (square + (rest or 0.0)) if square else 0.0)
+                scores.append(model.score(at, cos))
+                evidence.append(", ".join(f"{ids[model.index.order[a]]}:{c:.4f}" for a, c in zip(at[:3], cos[:3], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
 
-    out = counted.mapInArrow(score, f"doc_id {kind}, score double, evidence string")
+    near = stored(thin.mapInArrow(search, f"doc_id {kind}, of long, square double, at array<int>, cos array<float>"), "near")
+    # a text's sum came once for each of its copies
+    copies = near.where("of is not null").groupBy("of").agg(F.count("*").alias("copies"))
+    each = rest.join(copies, "of").select("of", (F.col("sum") / F.col("copies")).alias("rest"))
+    whole = near.where("of is null").withColumn("rest", F.lit(0.0)).unionByName(near.where("of is not null").join(each, "of", "left"))
+    out = whole.select("doc_id", "square", "at", "cos", "rest").mapInArrow(score, f"doc_id {kind}, score double, evidence string")
     return out.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "score", F.expr("int(score >= 0.5)").alias("predicted"), "evidence")
