@@ -388,3 +388,17 @@ def test_toxicity_weighs_all_terms(spark):
         got = [float(e.split(":")[1]) for e in rows.evidence.iloc[i].split(", ") if e]
         assert np.allclose(got, [c for c in cos if c > 0], atol=2e-4), i
     assert (rows.evidence != "").sum() == len(texts) - 3
+
+
+def test_secret_field_finds_other_forms(spark):
+    """Letters only and unnamed, which no base pattern reads."""
+    r = random.Random(31)
+    secret = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    texts = [prose(r, 40).replace(" ", f' api_key = "{secret(32)}" ', 1) if i % 3 == 0 else prose(r, 30) + f" {r.randrange(10**5)} " + prose(r, 9).capitalize() for i in range(400)]
+    letters = "qXvTzRkWpLsHgBnMdFjCyKwZtVxQrPbN"
+    texts += [f"ba de token -> {letters} fi go", f"ba de go {letters} lu, mi.", prose(r, 60)]
+    found = {x.doc_id: x.spans for x in secret_scan.scan(docs(spark, texts)).collect()}
+    for i in (400, 401):
+        assert secret_scan.base_spans(texts[i]) == []
+        assert [texts[i][s.start : s.end] for s in found[i]] == [letters]
+    assert found[402] == [] and sum(s.kind == "crf" for i in range(400) for s in found[i]) == 0

@@ -2,11 +2,11 @@
 
 Base kinds (code points, end exclusive, leftmost and non-overlapping for each kind): ``assign``, a named
 value of six or more characters; ``access``, an access key id of 20 or more; ``hex``, a run of 24 or more.
-The field tags words as beginning, inside or outside a secret from their shape, the words beside them and
-the file's share of words with digits, and is decoded by Viterbi. It learns from the base spans of a bounded
-sample (``SAMPLE`` documents, by a hash of the id). Words without a digit are outside by constraint, which cuts
-a text into runs of words with digits that are decoded one by one, exactly as the whole text would be. Spans it finds
-are reported as kind ``crf`` where they touch no base span.
+The field tags every word of the whole text as beginning, inside or outside a secret from its shape, the words
+beside it and the file's share of words with digits, and is decoded by Viterbi. It learns from the values of the
+base spans of a bounded sample (``SAMPLE`` documents, by a hash of the id), seen in windows of words; of each such
+window it also sees copies whose base cues are masked: the name and sign before the value, and its digits or case.
+Spans it finds are reported as kind ``crf`` where they touch no base span.
 
 Null texts are empty and hold nothing; repeated rows are scanned alike; an empty table gives no rows. If no
 sampled document has a base span the field adds none.
@@ -15,10 +15,12 @@ sampled document has a base span the field adds none.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,9 @@ from tracewright.llm.common import texts, tuned
 from tracewright.llm.crf import LinearChainCRF
 
 SAMPLE = 6000
+#: Words on either side of a value in a training window, and words whose weights a task holds.
+NEAR = 6
+WORDS = 400_000
 KINDS = ("assign", "access", "hex", "crf")
 # The base patterns.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -36,8 +41,12 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _IS_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN = b"x" * LEAST["hex"]
-_DIGITS = re.compile(r"[0-9]+")
+_DIGIT_RUN = re.compile(r"[0-9]+")
+_DIGITS = frozenset("0123456789")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.-][A-Za-z0-9+/_.=-]*\Z")
 _SPACE = re.compile(r"\s")
+_WORD = re.compile(r"\S+")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 
 
@@ -62,7 +71,7 @@ def digit_runs(text: str) -> list[list[tuple[int, int]]]:
     """Runs of neighbouring words that have a digit, as spans."""
     runs: list[list[tuple[int, int]]] = []
     end = -1
-    for m in _DIGITS.finditer(text):
+    for m in _DIGIT_RUN.finditer(text):
         if m.start() < end:
             continue
         start = m.start()
@@ -93,19 +102,35 @@ def _shape(core: str) -> list[str]:
     return [f"kinds={kinds}", f"length={min(len(core), 48) // 6}", f"entropy={int(entropy * 2)}", f"changes={min(changes, 12) // 2}", f"all={kinds}/{len(core) >= 20}"]
 
 
+def _shape_of(word: str) -> list[str]:
+    return [*_shape(_core(word)), f"at={'@' in word}"]
+
+
+def _core(word: str) -> str:
+    return max(_CORE.findall(word), key=len, default=word)
+
+
+def _before(word: str) -> list[str]:
+    near = word[-12:].lower().strip("\"'.,;()")
+    return [f"before={near if near.isalpha() or near in '=:' else '?'}", f"named={near in ('=', ':')}"]
+
+
+def _after(word: str) -> list[str]:
+    near = word[:40][-12:].lower().strip("\"'.,;()")
+    return [f"after={near[:3] if near in ('=', ':') else '?'}"]
+
+
 def describe(text: str, run: list[tuple[int, int]], share: str) -> list[list[str]]:
-    out = []
-    for start, end in run:
-        word = text[start:end]
-        core = max(_CORE.findall(word), key=len, default=word)
-        before, after = _neighbour(text, start, -1), _neighbour(text, end, 1)
-        out.append(["bias", *_shape(core), f"before={before if before.isalpha() or before in '=:' else '?'}", f"named={before in ('=', ':')}", f"after={after[:3] if after in ('=', ':') else '?'}", f"at={'@' in word}", share])
-    return out
+    return [["bias", *_shape_of(text[a:b]), *_before(_neighbour(text, a, -1)), *_after(_neighbour(text, b, 1)), share] for a, b in run]
 
 
-def _share(text: str, runs: list) -> str:
-    words = text.count(" ") + text.count("\n") + 1
-    return f"digits={min(int(20 * sum(map(len, runs)) / words), 5)}"
+def _share(words: list[str]) -> str:
+    return f"digits={min(int(20 * sum(not _DIGITS.isdisjoint(w) for w in words) / max(1, len(words))), 5)}"
+
+
+def value_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans, named ones without the name."""
+    return [(k, a, b) if k != "assign" else (k, b - len(_VALUE.search(text, a, b)[0]), b) for k, a, b in base]
 
 
 def weak_labels(run: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[int]:
@@ -118,26 +143,97 @@ def weak_labels(run: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -
     return out
 
 
-def found_spans(model: LinearChainCRF, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+class Tagger:
+    """A field's weights by word, so that a known word costs one lookup."""
+
+    def __init__(self, model: LinearChainCRF):
+        self.model = model
+        self.known: dict[str, tuple[float, ...]] = {}
+        # no path leaves 'outside' with profit where each word's own gain is below what moves can add: two a word at most
+        self.most = 2 * max(0.0, float(model.moves.max() - model.moves[0, 0]), float((model.first - model.first[0]).max()))
+
+    def weigh(self, word: str) -> tuple[float, ...]:
+        """Of a word: its own weights, those it gives to the word after it, and to the word before it."""
+        out = tuple(self.model.emissions([_shape_of(word), _before(word), _after(word)]).ravel().tolist())
+        if len(self.known) < WORDS:
+            self.known[word] = out
+        return out
+
+    def tag(self, words: list[str]) -> list[int]:
+        get, weigh = self.known.get, self.weigh
+        w = np.array([get(x) or weigh(x) for x in words])
+        edge = self.model.emissions([["bias", _share(words)], _before(""), _after("")])
+        e = w[:, :3] + edge[0]
+        e[1:] += w[:-1, 3:6]
+        e[0] += edge[1]
+        e[:-1] += w[1:, 6:]
+        e[-1] += edge[2]
+        if (e[:, 1:].max(1) - e[:, 0]).max() + self.most < 0:
+            return []
+        return self.model.decode(e)
+
+
+def found_spans(model: LinearChainCRF | Tagger, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The field's spans that touch no base span."""
-    runs = digit_runs(text)
-    if not runs or not model.index:
+    tagger = model if isinstance(model, Tagger) else Tagger(model)
+    words = text.split()
+    if not words or not tagger.model.index:
+        return []
+    labels = tagger.tag(words)
+    if not any(labels):
         return []
-    out, share = [], _share(text, runs)
-    for run in runs:
-        labels = model.decode(model.emissions(describe(text, run, share)))
-        k = 0
-        while k < len(run):
-            if not labels[k]:
-                k += 1
-                continue
-            first = k
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, k = [], 0
+    while k < len(labels):
+        first = k
+        k += 1
+        if not labels[first]:
+            continue
+        while k < len(labels) and labels[k] == 2:
             k += 1
-            while k < len(run) and labels[k] == 2:
-                k += 1
-            cores = [m for m in _CORE.finditer(text, run[first][0], run[k - 1][1]) if len(m[0]) >= 12]
-            if cores and not any(s[1] < cores[-1].end() and s[2] > cores[0].start() for s in base):
-                out.append(("crf", cores[0].start(), cores[-1].end()))
+        (a, b), (c, d) = at[first], at[k - 1]
+        start, end = a + text[a:b].index(_core(text[a:b])), c + text[c:d].index(_core(text[c:d])) + len(_core(text[c:d]))
+        if not any(s[1] < end and s[2] > start for s in base):
+            out.append(("crf", start, end))
+    return out
+
+
+def windows(text: str) -> list[tuple[list[list[str]], list[int]]]:
+    """Training windows of a text: about each base value, as it is and masked, and one of its other words."""
+    words, spans = [m.span() for m in _WORD.finditer(text)], value_spans(text, base_spans(text))
+    if not words:
+        return []
+    labels = weak_labels(words, spans)
+    parts, share = [text[a:b] for a, b in words], _share([text[a:b] for a, b in words])
+    r = random.Random(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+    out = []
+
+    plain = [w for w, y in zip(parts, labels, strict=True) if not y] or [""]
+
+    def add(parts: list[str], labels: list[int]) -> None:
+        near = ["", *parts, ""]
+        out.append(([["bias", *_shape_of(w), *_before(near[i]), *_after(near[i + 2]), share] for i, w in enumerate(parts)], labels))
+
+    for i in (i for i, y in enumerate(labels) if y == 1):
+        lo, hi = max(0, i - NEAR), i + 1
+        while hi < len(labels) and labels[hi] == 2:
+            hi += 1
+        end = min(len(labels), hi + NEAR)
+        add(parts[lo:end], labels[lo:end])
+        start, stop = next(s[1:] for s in spans if s[1] < words[i][1] and s[2] > words[i][0])
+        value = text[max(start, words[i][0]) : min(stop, words[i][1])]
+        for digits in (True, False):  # without the name: digits as they are, or as letters
+            masked = value if digits else "".join(r.choice(_LETTERS) if c in _DIGITS or r.random() < 0.5 else c for c in value)
+            masked = r.choice(["%s", '"%s"', "'%s'", "(%s)", "%s,"]) % masked
+            cut = max(lo, i - 2)  # the name and its sign become words of the text, or a sign that no pattern reads
+            cue = [r.choice(plain) for _ in range(i - cut)]
+            if cue and r.random() < 0.3:
+                cue[-1] = r.choice(["->", "=>", "is", "|"])
+            add([*parts[lo:cut], *cue, masked, *parts[hi:end]], [*labels[lo:cut], *([0] * len(cue)), 1, *labels[hi:end]])
+    for _ in range(2):
+        i = r.randrange(len(words))
+        if not any(labels[i : i + 2 * NEAR]):
+            add(parts[i : i + 2 * NEAR], labels[i : i + 2 * NEAR])
     return out
 
 
@@ -150,8 +246,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LinearChainCRF:
         for batch in batches:
             out = []
             for text in texts(batch, "text"):
-                spans, runs = base_spans(text), digit_runs(text)
-                out += [("\n".join("\t".join(f) for f in describe(text, r, _share(text, runs))), weak_labels(r, spans)) for r in runs]
+                out += [("\n".join("\t".join(f) for f in rows), y) for rows, y in windows(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.list_(pa.int32()))], names=["features", "labels"])
 
     rows = part.selectExpr("cast(text as string) as text").mapInArrow(run, "features string, labels array<int>").groupBy("features", "labels").count().orderBy(F.desc("count"), "features", "labels").limit(4 * sample).collect()
@@ -168,14 +263,16 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.selectExpr("doc_id", "cast(text as string) as text")
     model = fit(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tagger: list[Tagger] = []
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
+            tagger or tagger.append(Tagger(model))
             for text in texts(batch, "text"):
                 base = base_spans(text)
-                out.append([{"kind": k, "start": a, "end": b} for k, a, b in in_order(base + found_spans(model, text, base))])
+                out.append([{"kind": k, "start": a, "end": b} for k, a, b in in_order(base + found_spans(tagger[0], text, base))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
