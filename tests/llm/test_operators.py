@@ -402,3 +402,12 @@ def test_secret_field_finds_other_forms(spark):
         assert secret_scan.base_spans(texts[i]) == []
         assert [texts[i][s.start : s.end] for s in found[i]] == [letters]
     assert found[402] == [] and sum(s.kind == "crf" for i in range(400) for s in found[i]) == 0
+
+
+def test_html_open_heads_and_forms():
+    model = html_extract.fit()
+    inner = "<article><h1>The headline</h1><p>First long paragraph of the article, with many words in it.</p><p>And it ends here.</p></article>"
+    want = "The headline\nFirst long paragraph of the article, with many words in it.\nAnd it ends here."
+    pages = [f"<html><head><title>T</title><body>{inner}</body></html>", f"<html><head><title>T</title><style>p {{}}</style>{inner}</html>", f"<body><form action=x><input type=hidden>{inner}<select><option>One</select></form></body>", f"<body><form><input>{inner}</body>"]
+    assert [html_extract.main_text(model, page) for page in pages] == [want] * 4
+    assert html_extract.main_text(model, inner.replace("many words", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>")) == want.replace("many words", "x=2")

@@ -3,8 +3,8 @@
 A page is read once, tag by tag, into leaf blocks: runs of text not parted by a block-level tag. Each block
 has features of its ancestors' tags and class names, its own tag, its length, link share and punctuation. The
 field is trained on labelled pages that this module lays out from templates and is decoded by Viterbi.
-Scripts, styles, forms and other elements that never show article text, comments and markup are left out
-while reading. The blocks tagged as content are joined by line feeds; nothing is cut.
+Scripts, styles, a form's controls and other elements that never show article text, comments and markup are left
+out while reading; a form's other blocks are the field's to judge. An open head ends at the first tag of a body. The blocks tagged as content are joined by line feeds; nothing is cut.
 
 Null or empty html gives an empty text, as does a page without any content block. Character references are
 decoded, white space within a block becomes one space. Text outside of any block-level tag is a block too.
@@ -25,7 +25,9 @@ from tracewright.llm.crf import LinearChainCRF
 from tracewright.llm.common import tuned
 
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIP = frozenset("head script style noscript template textarea select button option svg math iframe object canvas audio video title form".split())
+SKIP = frozenset("head script style noscript template textarea select button option svg iframe object canvas audio video title".split())
+#: Tags that may stand in a head; any other block ends an open head.
+_IN_HEAD = frozenset("head script style noscript template title object".split())
 RAW = frozenset("script style textarea title".split())
 #: Tags that a new one of the same group closes.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -98,6 +100,8 @@ def blocks(page: str) -> list[Block]:
             links += 1
         elif tag in BLOCK or tag in SKIP:
             now, links = None, 0
+            if tag not in _IN_HEAD and any(t == "head" for t, _ in stack):
+                close(next(k for k, (t, _) in enumerate(stack) if t == "head"))
             ends = _ENDS.get(tag, _ENDS["p"])
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
@@ -126,7 +130,7 @@ def describe(block: Block) -> list[str]:
     n = len(text)
     tag = block.tags[-1] if block.tags else ""
     link = block.linked / max(1, n)
-    near = [t for t in block.tags if t in ("article", "main", "nav", "header", "footer", "aside", "section", "ul", "ol", "table", "menu", "dialog", "figure")]
+    near = [t for t in block.tags if t in ("article", "main", "nav", "header", "footer", "aside", "section", "ul", "ol", "table", "menu", "dialog", "figure", "form")]
     return [
         "bias", f"tag={tag}", f"length={min(n, 400).bit_length()}", f"link={int(link * 4)}", f"ends={text[-1] in '.!?'}", f"mark={text[0] in '©' or 'opyright' in text}",
         *(f"in={t}" for t in set(near)), f"inner={near[-1] if near else ''}", f"article={'article' in near or 'main' in near}", *(f"name={w}" for w in set(block.names)),
