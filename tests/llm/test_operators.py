@@ -411,3 +411,14 @@ def test_html_open_heads_and_forms():
     pages = [f"<html><head><title>T</title><body>{inner}</body></html>", f"<html><head><title>T</title><style>p {{}}</style>{inner}</html>", f"<body><form action=x><input type=hidden>{inner}<select><option>One</select></form></body>", f"<body><form><input>{inner}</body>"]
     assert [html_extract.main_text(model, page) for page in pages] == [want] * 4
     assert html_extract.main_text(model, inner.replace("many words", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>")) == want.replace("many words", "x=2")
+
+
+def test_mixing_fits_long_documents():
+    rounds, extra = mixing.fit(139_000.0, [69_000, 70_000, 100_000], [1, 1, 1])
+    assert (rounds, extra) == (0, {69_000: 1, 70_000: 1})
+    r = random.Random(41)
+    for _ in range(20):
+        lengths = sorted(r.sample(range(66_000, 300_000), 5))
+        target = r.randint(66_000, sum(lengths) - 1)
+        best = max(s for m in range(32) if (s := sum(x for i, x in enumerate(lengths) if m >> i & 1)) <= target)
+        assert sum(x * k for x, k in mixing.fit(float(target), lengths, [1] * 5)[1].items()) == best

@@ -5,7 +5,8 @@ target stops at twice its source's words; the excess is shared among the others
 above. A source is taken whole as often as its target allows. The remaining budget is fitted over its count
 of documents of each exact length: first the same fraction of every length, then long ones greedily until
 the rest is below ``DP_WORDS``, then a bounded-knapsack dynamic program that reaches the largest possible
-sum. Documents of a length are taken by a seeded hash of their id.
+sum for the rest. Where words are still missing, the program runs over the whole budget, in units of the lengths'
+common step, if it fits ``DP_BITS``; a source of more and longer lengths keeps the first fit. Documents of a length are taken by a seeded hash of their id.
 
 Only counts by source and length are gathered, never documents; a length that very many documents share is
 ranked within one of its hash ranges of about ``RANGE_ROWS`` documents. The driver sees one total a source.
@@ -30,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 DP_WORDS = 1 << 16
+#: Bits of a program over a source's whole budget, 128 MB.
+DP_BITS = 1 << 30
 RANGE_ROWS = 2048
 
 
@@ -96,6 +99,14 @@ def fit(target: float, lengths: list[int], counts: list[int]) -> tuple[int, dict
         order = sorted(extra)
         for length, k in subset_sum(left, order, [have[x] - extra[x] for x in order]).items():
             extra[length] += k
+    if sum(length * k for length, k in extra.items()) < budget:
+        step = gcd(*extra)
+        steps = budget // step
+        if steps * sum(1 for n in have.values() for _ in _powers(n)) <= DP_BITS:
+            order = sorted(extra)
+            whole = {length * step: k for length, k in subset_sum(steps, [x // step for x in order], [have[x] for x in order]).items()}
+            if sum(length * k for length, k in whole.items()) > sum(length * k for length, k in extra.items()):
+                extra = whole
     return rounds, {length: k for length, k in extra.items() if k}
 
 
