@@ -1,31 +1,34 @@
-"""Toxicity by the nearest labelled examples under class-weighted TF-IDF cosine over all terms, with a block-max inverted index.
+"""Toxicity by the nearest labelled examples under class-weighted TF-IDF cosine over all words, with a block-max inverted index.
 
 A bounded sample of labelled rows (``EXAMPLES``, the least hashes of their ids) gives the examples. Terms are
-words and word beginnings of four to six letters, all of them. A term's weight is its TF-IDF times sqrt(1 + chi-square
-of its presence in toxic and other examples), 1 for terms in no example: telling terms weigh more, none is left
-out. (Plain TF-IDF neighbours tell the classes apart far less where few examples share little but those terms.)
-Document frequencies are counted over all documents, and a text's norm is over all of its terms, those in no example too: these are counted and joined in
-Spark, as they aren't bounded. The index has posting lists for the examples' terms, cut into blocks of examples
-with the largest weight in each. Terms that very many examples share are dense rows, multiplied for many texts
-at once; their sum in a block plus the block's maxima of the other terms bounds its best product, and blocks
-whose bound falls below the k-th best found aren't scored. The result is the exact list of nearest examples.
-Votes are weighted by distance and calibrated by isotonic regression on leave-one-out votes of the examples.
+whole words in lower case, all of them. A term's weight is its TF-IDF times sqrt(1 + chi-square of its presence in
+toxic and other examples), 1 for terms in no example: telling terms weigh more, none is left out. (Plain TF-IDF
+neighbours tell the classes apart far less where few examples share little but those terms.) Document frequencies
+are counted over all documents, and a text's norm is over all of its terms, those in no example too. An example's
+terms are counted each by itself; the others, which aren't bounded, by a hash into ``PLACES`` counters, so that
+rare ones that share a counter weigh a little less in the norm; products aren't touched by that.
+
+The index has posting lists for the examples' terms, cut into blocks of examples with the largest weight in each.
+Terms that very many examples share are dense rows, multiplied for many texts at once; their sum in a block plus
+the block's maxima of the other terms bounds its best product, and blocks whose bound falls below the k-th best
+found aren't scored. The result is the exact list of nearest examples. Votes are weighted by distance and
+calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Null texts are empty. A text that shares no term with an example, empty ones too, gets the share of toxic rows
-among such examples. Ties, up to 1e-6, go to the example that comes first. If there are no examples, every score is 0.
-Repeated rows are scored alike.
+among such examples. Ties, up to 1e-6, go to the example that comes first. If there are no examples, every score
+is 0. Repeated rows are scored alike, null ids as any; an empty table gives no rows. A very long text is read word
+by word, in one piece. Other columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.calibration import calibrated, isotonic
@@ -38,51 +41,53 @@ NEIGHBOURS = 25
 BLOCK = 64
 #: Terms in more than one of so many examples are dense rows.
 DENSE = 32
-#: Texts scored at once, rows that a task holds, and words that a task knows.
+#: Counters of the terms that no example has; eight bytes each on the driver.
+PLACES = 1 << 21
+#: Texts scored at once, and words that a task knows.
 TEXTS = 128
-HELD = 200_000
 WORDS = 400_000
 _EDGE = "\"'.,;:!?()[]{}*#$%&-_|<>"
+#: This worker's words, index and ids of the last query; a worker runs many tasks of it.
+_HERE: dict[str, tuple] = {}
 
 
 def forms(word: str) -> tuple[str, ...]:
-    """A word's terms: itself, and its beginnings."""
+    """A word's terms: itself without case and the signs about it, or nothing."""
     w = word.lower().strip(_EDGE)
-    return tuple({w, *(f"{w[:n]}-" for n in (4, 5, 6) if len(w) > n)}) if w else ()
+    return (w,) if w else ()
+
+
+def key_of(term: str) -> int:
+    """A term's name in the index: 64 bits of hash."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 class Terms(dict):
-    """Word to the numbers of its terms, as learned; words that don't fit any more are looked up each time."""
+    """Word to the number of its term, as learned: the examples' terms from 0, then ``places`` shared by hash, then none.
 
-    def __init__(self, index: dict[str, int]):
-        self.index = index
-        self.other: dict[str, list[str]] = {}
-        self.late: list[str] = []
+    Words that don't fit any more are looked up each time.
+    """
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        get = self.index.get
-        found, other = [], []
+    def __init__(self, keys: np.ndarray, places: int = PLACES):
+        self.own = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.places, self.none = places, len(keys) + places
+
+    def __missing__(self, word: str) -> int:
+        found = self.none
         for t in forms(word):
-            i = get(t)
-            if i is None:
-                other.append(t)
-            else:
-                found.append(i)
+            k = key_of(t)
+            found = self.own.get(k, -1)
+            if found < 0:
+                found = len(self.own) + k % self.places
         if len(self) < WORDS:
-            self[word] = tuple(found)
-            if other:
-                self.other[word] = other
-        else:
-            self.late += other
-        return tuple(found)
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-        """Numbers of the terms and their counts, and counts of the terms without a number."""
-        self.late.clear()
+            self[word] = found
+        return found
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms, rising, and their counts."""
         words = text.split()
-        inside, n = np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64), return_counts=True)
-        other = self.other
-        return inside, n, Counter(chain(self.late, chain.from_iterable(other[w] for w in words if w in other)))
+        number, n = np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+        return (number[:-1], n[:-1]) if len(number) and number[-1] == self.none else (number, n)
 
 
 def class_weight(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, terms: int) -> np.ndarray:
@@ -123,8 +128,9 @@ class _Rows:
 class BlockMaxIndex:
     """Examples as unit TF-IDF vectors in posting lists. A list is in order of position; its run in a block has its largest weight."""
 
-    def __init__(self, idf: np.ndarray, vectors: list, labels: np.ndarray):
-        self.idf = idf
+    def __init__(self, idf: np.ndarray, vectors: list, labels: np.ndarray, terms: int | None = None):
+        """``idf``: weights of all numbers; only the first ``terms`` have lists, as the examples have no others."""
+        self.idf, self.terms = idf, len(idf) if terms is None else terms
         places = -(-max(len(vectors), 1) // BLOCK) * BLOCK
         # examples alike in their heaviest term share blocks, so that bounds are tight
         heavy = np.full(places, len(idf) + 1)
@@ -140,11 +146,11 @@ class BlockMaxIndex:
         by = np.lexsort((position, term))
         term, self.position = term[by], position[by].astype(np.int32)
         self.weight = np.concatenate([np.zeros(0), *(w for _, w in weighed)])[by].astype(np.float32)
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.start = np.searchsorted(term, np.arange(self.terms + 1))
         self._build()
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("idf", "order", "labels", "real", "position", "weight", "start")}
+        return {k: self.__dict__[k] for k in ("idf", "terms", "order", "labels", "real", "position", "weight", "start")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -153,7 +159,7 @@ class BlockMaxIndex:
     def _build(self) -> None:
         """What follows from the posting lists: dense rows and runs, which aren't sent."""
         size = np.diff(self.start)
-        term = np.repeat(np.arange(len(self.idf)), size)
+        term = np.repeat(np.arange(self.terms), size)
         often = size * DENSE > self.real.sum()
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.dense = np.zeros((int(often.sum()), len(self.order)), np.float32)
@@ -170,15 +176,11 @@ class BlockMaxIndex:
         self.runs = np.searchsorted(self.run_at, self.start)
         self.weights = _Rows(self)
 
-    def weigh(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t, w, square = self.weigh_raw(terms, counts)
-        return t, w / (np.sqrt(square) or 1.0)
-
-    def weigh_raw(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Terms, their weights, and the sum of the weights' squares."""
+    def weigh(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights in a vector of length one."""
         t = np.array(terms, np.int64)
         w = (1 + np.log(np.array(counts, float))) * self.idf[t]
-        return t, w, float(w @ w)
+        return t, w / (np.sqrt(w @ w) or 1.0)
 
     def nearest(self, terms: list[int], counts: list[int], k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples with any term in common."""
@@ -187,6 +189,7 @@ class BlockMaxIndex:
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query of terms and weights: positions and products of the k best examples."""
+        queries = [(t[t < self.terms], q[t < self.terms]) for t, q in queries]
         asked = np.zeros((len(queries), len(self.dense)), np.float32)
         for i, (t, q) in enumerate(queries):
             row = self.row[t]
@@ -253,109 +256,88 @@ class Model:
         self.base = float((labels[bare].sum() + 0.5 * labels.mean()) / (bare.sum() + 0.5)) if len(labels) else 0.0
         self.points = isotonic(np.array(votes), np.array(truth)) if votes else (np.array([0.0]), np.array([0.0]))
 
-    def score(self, at: np.ndarray, cos: np.ndarray) -> float:
-        """Calibrated score from the nearest examples."""
-        if not len(at):
-            return self.base
-        return float(calibrated(self.points, np.array([self.index.vote(at, cos)]))[0])
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        """Calibrated scores from the nearest examples of each text."""
+        votes = np.array([self.index.vote(at, cos) if len(at) else 0.0 for at, cos in found])
+        return np.where([len(at) > 0 for at, _ in found], calibrated(self.points, votes), self.base).tolist()
 
 
-def _key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and counts of the terms of ``(doc_id, y, text)``."""
+    for batch in batches:
+        keys, counts = [], []
+        for x in texts(batch, "text"):
+            n: dict[int, int] = {}
+            for w in x.split():
+                for t in forms(w):
+                    k = key_of(t)
+                    n[k] = n.get(k, 0) + 1
+            keys.append(sorted(n))
+            counts.append([n[k] for k in keys[-1]])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "y", "keys", "counts"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, examples: int = EXAMPLES) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` of every document; evidence: example ids and cosines."""
     spark = tuned(docs.sparkSession)
     thin = docs.selectExpr("doc_id", "cast(text as string) as text")
+    kind = thin.schema["doc_id"].dataType.simpleString()
     marked = labels.where(remainder("doc_id", modulus) != held_out).select("doc_id", F.col(label).cast("double").alias("y")).where("y is not null and doc_id is not null")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(examples)
     # repeated ids join more often than once: the first rows in order are taken before anything is collected
-    found = thin.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    sample = [tuple(r) for r in found.orderBy("doc_id", "y", "text").limit(examples).collect()]
-    truth = np.array([y for _, y, _ in sample])
-    names = sorted({t for _, _, x in sample for w in set(x.split()) for t in forms(w)})
-    own = {t: i for i, t in enumerate(names)}
-    numbers = spark.sparkContext.broadcast(own)
-    cache: list[Terms] = []
+    found = thin.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_vectors, f"doc_id {kind}, y double, keys array<long>, counts array<int>")
+    sample = found.orderBy("doc_id", "y", "keys", "counts").limit(examples).toArrow()
+    truth = np.array(sample["y"].to_pylist(), float)
+    rows = [(np.array(k, np.int64), np.array(c)) for k, c in zip(sample["keys"].to_pylist(), sample["counts"].to_pylist(), strict=True)]
+    keys = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for k, _ in rows)]))
+    vectors = [(np.searchsorted(keys, k), c) for k, c in rows]
+    numbers = spark.sparkContext.broadcast(keys)
+    name = uuid.uuid4().hex
+
+    def known() -> Terms:
+        if name not in _HERE:
+            _HERE.clear()
+            _HERE[name] = (Terms(numbers.value),)
+        return _HERE[name][0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with each numbered term, as ``(null, number, documents)``; other terms as ``(text, term, count)``."""
-        cache or cache.append(Terms(numbers.value))
-        seen = np.zeros(len(numbers.value), np.int64)
-        of, term, n = [], [], []
-
-        def held() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(term, pa.int64()), pa.array(n, pa.int32())], names=["of", "term", "n"])
-            for x in (of, term, n):
-                x.clear()
-            return out
-
+        """Documents with each numbered term, and all documents as number -1."""
+        terms, total = known(), 0
+        seen = np.zeros(terms.none + 1, np.int32)
         for batch in batches:
+            total += batch.num_rows
             for x in texts(batch, "text"):
-                inside, _, other = cache[0].count(x)
-                seen[inside] += 1
-                if other:
-                    of += [_key(x)] * len(other)
-                    term += map(_key, other)
-                    n += other.values()
-                    if len(n) > HELD:
-                        yield held()
-        at = np.flatnonzero(seen)
-        of += [None] * len(at)
-        term += at.tolist()
-        n += seen[at].tolist()
-        yield held()
-
-    counted = stored(thin.select("text").mapInArrow(count, "of long, term long, n int"), "terms")
-    frequency = np.zeros(len(names))
-    for t, n in counted.where("of is null").groupBy("term").agg(F.sum("n")).collect():  # a row a term of the sample
-        frequency[t] = n
-    total = docs.count()
-    # terms of no example: they only count in a text's norm; equal texts have one
-    other = counted.where("of is not null").withColumn("documents", F.count("*").over(Window.partitionBy("term")))
-    weight = (1 + F.log(F.col("n"))) * (F.log(F.lit(total + 1) / (F.col("documents") + 1)) + 1)
-    rest = other.groupBy("of").agg(F.sum(weight * weight).alias("sum"))
-    idf = np.log((total + 1) / (frequency + 1)) + 1
-    known = Terms(own)
-    vectors = [known.count(x)[:2] for _, _, x in sample]
-    model = Model(BlockMaxIndex(idf * class_weight(vectors, truth, len(names)), vectors, truth), vectors, truth)
-    ids = np.array([str(r[0]) for r in sample])
+                words = {*x.split()}
+                seen[np.unique(np.fromiter(map(terms.__getitem__, words), np.int64, len(words)))] += 1
+        at = np.append(np.flatnonzero(seen[:-1]), -1)
+        n = np.append(seen[at[:-1]], total).astype(np.int64)
+        for lo in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + (1 << 16)]), pa.array(n[lo : lo + (1 << 16)])], names=["number", "n"])
+
+    # at most a row for each term of the examples and each counter
+    counted = thin.select("text").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").cast("int").alias("n")).select(F.col("number").cast("int"), "n").toArrow()
+    number, n = (counted[c].to_numpy() for c in ("number", "n"))
+    frequency = np.zeros(len(keys) + PLACES + 1, np.int64)
+    frequency[number] = n
+    total = frequency[-1]
+    idf = (np.log((total + 1) / (frequency[:-1] + 1)) + 1).astype(np.float32)
+    idf[: len(keys)] *= class_weight(vectors, truth, len(keys))
+    model = Model(BlockMaxIndex(idf, vectors, truth, len(keys)), vectors, truth)
+    ids = np.array([str(x) for x in sample["doc_id"].to_pylist()])
     shared = spark.sparkContext.broadcast((model, ids))
-    kind = next(f for f in thin.schema if f.name == "doc_id").dataType.simpleString()
-    floats = pa.list_(pa.float32())
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache or cache.append(Terms(numbers.value))
-        index = shared.value[0].index
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = known()
+        if len(_HERE[name]) == 1:
+            _HERE[name] = (terms, *shared.value)
+        _, model, ids = _HERE[name]
+        index = model.index
         for whole in batches:
             for lo in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(lo, TEXTS)
-                found, of, square, queries = texts(batch, "text"), [], [], []
-                for x in found:
-                    inside, n, other = cache[0].count(x)
-                    t, w, s = index.weigh_raw(inside, n)
-                    of.append(_key(x) if other else None)
-                    square.append(s)
-                    queries.append((t, w / (np.sqrt(s) or 1.0)))
-                near = index.search(queries)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of, pa.int64()), pa.array(square, pa.float64()), pa.array([a for a, _ in near], pa.list_(pa.int32())), pa.array([c.astype(np.float32) for _, c in near], floats)], names=["doc_id", "of", "square", "at", "cos"])
+                near = index.search([index.weigh(*terms.count(x)) for x in texts(batch, "text")])
+                evidence = [", ".join(f"{ids[index.order[a]]}:{c:.4f}" for a, c in zip(at[:3].tolist(), cos[:3].tolist(), strict=True)) for at, cos in near]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(near), pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids = shared.value
-        for batch in batches:
-            scores, evidence = [], []
-            rows = (batch.column(i).to_pylist() for i in range(1, 5))
-            for square, at, cos, rest in zip(*rows, strict=True):
-                at, cos = np.array(at, np.int64), np.array(cos, float) * np.sqrt(square / (square + (rest or 0.0)) if square else 0.0)
-                scores.append(model.score(at, cos))
-                evidence.append(", ".join(f"{ids[model.index.order[a]]}:{c:.4f}" for a, c in zip(at[:3], cos[:3], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], names=["doc_id", "score", "evidence"])
-
-    near = stored(thin.mapInArrow(search, f"doc_id {kind}, of long, square double, at array<int>, cos array<float>"), "near")
-    # a text's sum came once for each of its copies
-    copies = near.where("of is not null").groupBy("of").agg(F.count("*").alias("copies"))
-    each = rest.join(copies, "of").select("of", (F.col("sum") / F.col("copies")).alias("rest"))
-    whole = near.where("of is null").withColumn("rest", F.lit(0.0)).unionByName(near.where("of is not null").join(each, "of", "left"))
-    out = whole.select("doc_id", "square", "at", "cos", "rest").mapInArrow(score, f"doc_id {kind}, score double, evidence string")
+    out = thin.mapInArrow(score, f"doc_id {kind}, score double, evidence string")
     return out.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "score", F.expr("int(score >= 0.5)").alias("predicted"), "evidence")
