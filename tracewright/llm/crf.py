@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-
+from collections import Counter
 
-def _sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+import numpy as np
 
 
 class LinearChainCRF:
@@ -22,73 +19,104 @@ class LinearChainCRF:
 
     def emissions(self, sequence: list[list[str]]) -> np.ndarray:
         get = self.index.get
-        out = np.zeros((len(sequence), self.classes))
-        for t, names in enumerate(sequence):
-            at = [i for i in map(get, names) if i is not None]
-            if at:
-                out[t] = self.weights[at].sum(0)
-        return out
+        at = [(t, i) for t, names in enumerate(sequence) for i in map(get, names) if i is not None]
+        if not at:
+            return np.zeros((len(sequence), self.classes))
+        token, feature = np.array(at).T
+        return np.stack([np.bincount(token, self.weights[feature, c], len(sequence)) for c in range(self.classes)], 1)
 
-    def decode(self, emissions: np.ndarray) -> list[int]:
+    def decode(self, emissions: np.ndarray, first: np.ndarray | None = None) -> list[int]:
         """The likeliest labels; of equal ones the first."""
-        n = len(emissions)
-        if not n:
+        if not len(emissions):
             return []
-        best, back = self.first + emissions[0], np.zeros((n, self.classes), int)
-        for t in range(1, n):
-            score = best[:, None] + self.moves
-            back[t] = score.argmax(0)
-            best = score.max(0) + emissions[t]
-        path = [int(best.argmax())]
-        for t in range(n - 1, 0, -1):
-            path.append(int(back[t, path[-1]]))
+        labels, into = range(self.classes), self.moves.T.tolist()
+        best, *rest = emissions.tolist()
+        best = [a + b for a, b in zip((self.first if first is None else first).tolist(), best, strict=True)]
+        back = []
+        for gain in rest:
+            came, after = [], []
+            for y in labels:
+                score = [a + b for a, b in zip(best, into[y], strict=True)]
+                top = max(score)
+                came.append(score.index(top))
+                after.append(top + gain[y])
+            back.append(came)
+            best = after
+        path = [best.index(max(best))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
         return path[::-1]
 
-    def fit(self, sequences: list[list[list[str]]], labels: list[list[int]], epochs: int = 120, rate: float = 0.3, ridge: float = 1e-3) -> LinearChainCRF:
-        """Full-batch Adagrad on the mean log likelihood, with forward-backward over all sequences at once."""
+    def other_than_first(self, emissions: np.ndarray) -> dict[int, int]:
+        """The places of ``decode``'s path whose label isn't 0, for sequences that are 0 nearly everywhere.
+
+        A label's profit over 0 in any company is at most its emission's plus a bound from the moves. Where no label
+        can profit the path is 0, so that the stretches between are decoded one by one, with a 0 on either side.
+        """
+        n, m = len(emissions), self.moves
+        into, out = m - m[:, :1], m - m[:1]  # over 0: from each label, and to each label
+        start, end = np.append(into, [self.first - self.first[0]], 0).max(0), np.append(out, np.zeros((self.classes, 1)), 1).max(1)
+        unsure = ((emissions - emissions[:, :1] + start + end)[:, 1:] >= -1e-9).any(1)
+        at = np.flatnonzero(unsure)
+        found: dict[int, int] = {}
+        if not len(at):
+            return found
+        cuts = np.flatnonzero(np.diff(at) > 1) + 1
+        for run in np.split(at, cuts):
+            lo, hi = int(run[0]), int(run[-1]) + 1
+            part = emissions[lo:hi].copy()
+            if hi < n:
+                part[-1] += m[:, 0]
+            labels = self.decode(part, m[0] if lo else None)
+            found.update((lo + i, y) for i, y in enumerate(labels) if y)
+        return found
+
+    def fit(self, sequences: list[list[list[str]]], labels: list[list[int]], epochs: int = 120, rate: float = 0.3, ridge: float = 1e-3, least: int = 1) -> LinearChainCRF:
+        """Full-batch Adagrad on the mean log likelihood, with forward-backward over all sequences at once.
+
+        Features of fewer than ``least`` tokens are left out.
+        """
         keep = [i for i, s in enumerate(sequences) if s]
         sequences, labels = [sequences[i] for i in keep], [labels[i] for i in keep]
         if not sequences:
             return self
-        for s in sequences:
-            for names in s:
-                for name in names:
-                    self.index.setdefault(name, len(self.index))
-        k, n, longest = self.classes, len(sequences), max(map(len, sequences))
-        length = np.array([len(s) for s in sequences])
-        token = np.concatenate([np.arange(m) + i * longest for i, m in enumerate(length)])
-        owner = np.repeat(token, [len(names) for s in sequences for names in s])
-        feature = np.array([self.index[name] for s in sequences for names in s for name in names], int)
-        y = np.zeros((n, longest), int)
-        for i, row in enumerate(labels):
-            y[i, : len(row)] = row
-        inside = np.arange(longest) < length[:, None]
-        truth = np.eye(k)[y] * inside[..., None]
-        pair_truth = np.einsum("nta,ntb->ab", truth[:, :-1], truth[:, 1:])
+        seen = Counter(name for s in sequences for names in s for name in names)
+        self.index = {name: i for i, name in enumerate(name for name, n in seen.items() if n >= least)}
+        by = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        sequences, labels = [sequences[i] for i in by], [labels[i] for i in by]
+        k, n, length = self.classes, len(sequences), np.array([len(s) for s in sequences])
+        live = [int((length > t).sum()) for t in range(length[0])]  # sequences that have a token at t: the first so many
+        # tokens by place, then sequence; many have the same features, and these are weighed once
+        sets: dict[tuple, int] = {}
+        kind = np.array([sets.setdefault(tuple(self.index[x] for x in sequences[i][t] if x in self.index), len(sets)) for t, m in enumerate(live) for i in range(m)], int)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        feature = np.array([i for x in sets for i in x], int)
+        truth = np.eye(k)[[labels[i][t] for t, m in enumerate(live) for i in range(m)]]
+        at = np.cumsum([0, *live])
+        part = [slice(at[t], at[t + 1]) for t in range(len(live))]
+        pair_truth = sum((truth[part[t - 1]][: live[t]].T @ truth[part[t]] for t in range(1, len(live))), np.zeros((k, k)))
         self.weights = np.zeros((len(self.index), k))
         speed = [np.full_like(p, 1e-8) for p in (self.weights, self.moves, self.first)]
         for _ in range(epochs):
-            emission = np.zeros((n * longest, k))
-            np.add.at(emission, owner, self.weights[feature])
-            emission = emission.reshape(n, longest, k)
-            alpha, beta = np.zeros_like(emission), np.zeros_like(emission)
-            alpha[:, 0] = self.first + emission[:, 0]
-            for t in range(1, longest):
-                on = emission[:, t] + _sum(alpha[:, t - 1, :, None] + self.moves, 1)
-                alpha[:, t] = np.where(inside[:, t, None], on, alpha[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                on = _sum(self.moves + (emission[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(inside[:, t + 1, None], on, 0)
-            total = _sum(alpha[:, -1], 1)[:, None, None]
-            share = np.exp(alpha + beta - total) * inside[..., None]
-            pairs = np.zeros((k, k))
-            for t in range(longest - 1):
-                step = np.exp(alpha[:, t, :, None] + self.moves + (emission[:, t + 1] + beta[:, t + 1])[:, None, :] - total)
-                pairs += (step * inside[:, t + 1, None, None]).sum(0)
-            gap = (truth - share).reshape(-1, k)
-            slope = np.zeros_like(self.weights)
-            np.add.at(slope, feature, gap[owner])
-            for p, g, v in zip((self.weights, self.moves, self.first), (slope, pair_truth - pairs, (truth - share)[:, 0].sum(0)), speed, strict=True):
+            of_set = np.stack([np.bincount(owner, self.weights[feature, c], len(sets)) for c in range(k)], 1)
+            emission = np.exp(of_set - of_set.max(1, keepdims=True))[kind]
+            move, first = np.exp(self.moves - self.moves.max()), np.exp(self.first - self.first.max())
+            # forward and backward probabilities, scaled at every step
+            alpha, beta, pairs = np.zeros_like(emission), np.ones_like(emission), np.zeros((k, k))
+            for t, m in enumerate(live):
+                x = emission[part[t]] * (alpha[part[t - 1]][:m] @ move if t else first)
+                alpha[part[t]] = x / x.sum(1, keepdims=True)
+            for t in range(len(live) - 2, -1, -1):
+                m = live[t + 1]
+                after = emission[part[t + 1]] * beta[part[t + 1]]
+                before, x = alpha[part[t]][:m], after @ move.T
+                pairs += move * ((before / (before * x).sum(1, keepdims=True)).T @ after)
+                beta[at[t] : at[t] + m] = x / x.sum(1, keepdims=True)
+            share = alpha * beta
+            gap = truth - share / share.sum(1, keepdims=True)
+            of_set = np.stack([np.bincount(kind, gap[:, c], len(sets)) for c in range(k)], 1)
+            slope = np.stack([np.bincount(feature, of_set[owner, c], len(self.weights)) for c in range(k)], 1)
+            for p, g, v in zip((self.weights, self.moves, self.first), (slope, pair_truth - pairs, gap[part[0]].sum(0)), speed, strict=True):
                 g = g / n - ridge * p
                 v += g * g
                 p += rate * g / np.sqrt(v)
