@@ -3,17 +3,22 @@
 A document longer than a window first fills whole windows; what is left goes into the fill level that makes
 the sum of squared counts of partially filled windows least, over an array that counts the open windows at
 every level. Each task packs its own part of the table, so nothing is shuffled and a lost task is run again
-with the same result. When a task's input ends, its open windows are closed: their content is cut into full
-windows and the last remainder into windows of sizes that are powers of two, which need no padding.
-
-Null or empty texts hold just the end id. Repeated rows are packed as often as they occur. An empty table
-gives an empty result. Any other columns are ignored. Windows of different tasks have different numbers, the
-task's number in the high bits; a table of very few rows makes short windows rather than padded ones.
+with the same result. When a task's input ends, its open windows are closed, the fullest first: its gap takes whole
+pieces of the emptiest windows, the largest that fits each time, and part of a piece that is cut up for this where
+none fits. So the fuller windows keep what the levels gave them, and little is cut; what no window
+takes, less than one, goes into sequences of sizes that are powers of two, which need no padding. ``closing`` counts
+what was moved and cut: a few hundred windows a task, however large the task.
+
+Null or empty texts hold just the end id. Null ids are packed as any. Repeated rows are packed as often as they
+occur. A very long text fills windows of its own. An empty table gives an empty result. Any other columns are
+ignored, whatever their names. Windows of different tasks have different numbers, the task's number in the high
+bits; a table of very few rows makes short windows rather than padded ones.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,18 +98,68 @@ def pack(documents: Iterator[tuple[int | None, bytes]], first: int, window: int
         if offset + total - whole == window:
             for one_id, rest, start, all_, at in held.pop(sequence):
                 yield one_id, start, len(rest) // 4, zlib.crc32(rest), all_, sequence, at
-    # close: the open windows' pieces in a row, cut anew
-    sizes = iter(closing_sizes(sum(len(p[1]) // 4 for pieces in held.values() for p in pieces), window))
-    sequence, offset, room = -1, 0, 0
-    for pieces in held.values():
-        for doc_id, rest, start, total, _ in pieces:
-            done, length = 0, len(rest) // 4
-            while done < length:
-                if not room:
-                    sequence, offset, room = next(serial), 0, next(sizes)
-                take = min(room, length - done)
-                yield doc_id, start + done, take, zlib.crc32(rest[4 * done : 4 * (done + take)]), total, sequence, offset
-                done, offset, room = done + take, offset + take, room - take
+    yield from close(list(held.values()), lambda: next(serial), window)
+
+
+def close(windows: list[list[tuple]], new: Callable[[], int], window: int, closing: dict[str, int] | None = None) -> Iterator[tuple]:
+    """Rows of the pieces ``(doc_id, ids, start, doc_tokens, offset)`` of open windows, closed without padding.
+
+    ``closing`` gets the ids that were ``moved`` to another window, and those of pieces that were ``cut`` up.
+    """
+    size = lambda piece: len(piece[1]) // 4
+    level = lambda pieces: pieces[-1][4] + size(pieces[-1])
+    windows.sort(key=level, reverse=True)
+    pool: list[tuple[int, int, tuple]] = []  # pieces to be moved, by size; the second number keeps ties apart
+    loose = serial = 0
+    rest: tuple | None = None
+    closing = {} if closing is None else closing
+    closing |= {"moved": 0, "cut": 0}
+
+    def free(piece: tuple) -> None:
+        nonlocal loose, serial
+        serial += 1
+        loose += size(piece)
+        insort(pool, (size(piece), serial, piece))
+
+    def row(piece: tuple, sequence: int, offset: int) -> tuple:
+        return piece[0], piece[2], size(piece), zlib.crc32(piece[1]), piece[3], sequence, offset
+
+    def filled(sequence: int, at: int, most: int) -> Iterator[tuple]:
+        """Pieces of the pool from an offset on up to a size; where none fits, a part of the one that is being cut."""
+        nonlocal loose, rest
+        while at < most and loose:
+            k = bisect(pool, (most - at, serial + 1)) - 1
+            if k >= 0:
+                piece = pool.pop(k)[2]
+            else:
+                if rest is None:
+                    rest = pool.pop()[2]
+                    closing["cut"] += size(rest)
+                n = min(size(rest), most - at)
+                piece = (rest[0], rest[1][: 4 * n], rest[2], rest[3])
+                rest = (rest[0], rest[1][4 * n :], rest[2] + n, rest[3]) if n < size(rest) else None
+            loose -= size(piece)
+            closing["moved"] += size(piece)
+            yield row(piece, sequence, at)
+            at += size(piece)
+
+    # as many of the fullest stay as the others can fill
+    gaps, there, stay = 0, sum(map(level, windows)), 0
+    for pieces in windows:
+        gaps, there = gaps + window - level(pieces), there - level(pieces)
+        if gaps > there:
+            break
+        stay += 1
+    for pieces in windows[stay:]:
+        for piece in pieces:
+            free(piece)
+    for pieces in windows[:stay]:
+        sequence = new()
+        for piece in pieces:
+            yield row(piece, sequence, piece[4])
+        yield from filled(sequence, level(pieces), window)
+    for most in closing_sizes(loose, window):
+        yield from filled(new(), 0, most)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:

@@ -2,12 +2,16 @@
 
 Both supported vocabularies split a text before every blank or line feed that stands between two characters
 which aren't white space, so a text's ids are the ids of its words in a row. Texts with any other white
-space are encoded whole.
+space are encoded whole. A new word of Latin letters, digits and ASCII signs is cut into the pieces that the
+vocabulary's own pattern cuts, which the tokenizer's model encodes one by one; any other word goes through the
+whole tokenizer. Ids are the same either way.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 
@@ -15,8 +19,16 @@ import numpy as np
 CACHE_WORDS = 600_000
 #: Longer words are encoded anew each time.
 LONG_WORD = 200
-_TAIL = ".,!?;:*$&%#)"
 _LOADED: dict[tuple, Encoder] = {}
+# The vocabularies' patterns, for these letters; the first one's is for texts in lower case.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PIECES = {False: re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"), True: re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+")}
+#: Words that the patterns above cut as the tokenizer does; a letter whose lower case is two characters is left out.
+_PLAIN = re.compile("[\n ]?[!-~À-ÖØ-öø-įı-ɏ]*")
+#: A byte-level vocabulary writes bytes as characters: printable ones as themselves, the others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Cache(dict):
@@ -38,56 +50,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.blank = blank
-        self.mark = self.whole("\n" if blank else "0")
-        (self.mark_id,) = np.frombuffer(self.mark, "<u4").tolist()
+        self.model, self.blank, self.pieces = self.tokenizer.model, blank, _PIECES[blank].findall
         self.new = Cache()
         self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found.ids, "<u4")
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of many words by few calls: joined by a mark that is a token of its own and in none of the words."""
-        mark = "\n" if self.blank else " 0 "
-        out = {w: self.whole(w) for w in words if mark.strip(" ") in w}
-        rest = [w for w in words if w not in out]
-        for i in range(0, len(rest), 512):
-            part = rest[i : i + 512]
-            ids = self._ids(mark.join(part) + mark)
-            ends = np.flatnonzero(ids == self.mark_id)
-            assert len(ends) == len(part), "a mark was merged with a word"
-            raw, at = ids.tobytes(), [0, *(ends + 1).tolist()]
-            out.update((w, raw[4 * at[k] : 4 * at[k + 1] - 4]) for k, w in enumerate(part))
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        """Put words into the cache; a word that ends in punctuation after a letter is its two parts in a row."""
+        return np.array(found.ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the pattern has cut; what isn't cached is encoded by the model alone."""
+        ids = self.new.get(piece) or self.old.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(piece) <= LONG_WORD:
+                self.new[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self.whole(word)
+        return b"".join(map(self._piece, self.pieces(word if self.blank else word.lower())))
+
+    def _learn(self, words: set[str]) -> None:
+        """Put words into the cache."""
         if len(self.new) > CACHE_WORDS:
             self.new, self.old = Cache(), self.new
-        missing: list[str] = []
-        parts: list[tuple[str, str, str]] = []
+        get, new, word = self.old.get, self.new, self._word
         for w in words:
-            if (ids := self.old.get(w)) is not None:
-                self.new[w] = ids
-                continue
-            body = w.rstrip(_TAIL)
-            if len(body) < len(w) and body and body[-1].isalpha():
-                parts.append((w, body, w[len(body) :]))
-                missing += (x for x in parts[-1][1:] if x not in self.new)
-            else:
-                missing.append(w)
-        plain = {w.removeprefix("\n") for w in missing} if self.blank else {*missing}
-        fresh = self._encode_words([w for w in plain if w not in self.new])
-        if self.blank:
-            fresh |= {w: self.mark + (fresh[w[1:]] if w[1:] in fresh else self.new[w[1:]]) for w in missing if w[0] == "\n"}
-        self.new.update(fresh)
-        for w, body, tail in parts:
-            self.new[w] = self.new[body] + self.new[tail]
+            new[w] = get(w) or word(w)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
@@ -106,7 +98,7 @@ class Encoder:
         if waiting:
             missing, self.new.missing = self.new.missing, set()
             # the cache may be a fresh one after this, so what was found above is kept
-            self._learn(list(missing))
+            self._learn(missing)
             for i, words in waiting:
                 ids, get = found[i], self.new.__getitem__
                 found[i] = [get(w) if x is None else x for w, x in zip(words, ids)]  # noqa: B905
