@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewright.operators.labelled import replay_labelled
 from tracewright.operators.replay import replay_bounded, replay_core, replay_scored
@@ -16,6 +17,15 @@ from tracewright.plans import rules as R
 from tracewright.plans.labelled import LabelledPattern, compile_labelled, labelled_tags
 from tracewright.streaming.replay import replay_bounded_stream, replay_labelled_stream, replay_scored_stream, replay_stream
 
+# A built-in set of scored rules, with the dialect it is written for.
+BUILT_IN = {
+    "credentials": ("scored", """
+ttp T1003 tactic=credential_access severity=9 rarity=0.85
+tagger T1003 op=read target_image_base=lsass.exe attr_true=vm_read
+pattern credential_dump scope=same_storyline theta_alert=4 theta_block=6
+step read_memory bit=0 match=ttp:T1003 seg_window=120000 enforceable block
+"""),
+}
 DIALECTS = ("linear", "dag", "bounded", "scored", "labelled")
 
 
@@ -36,6 +46,23 @@ class Engine:
         dag = dialect != "linear"
         return Engine(dialect, R.decode(rules, dag) if isinstance(rules, bytes) else R.compile_rules(rules, dag))
 
+    @staticmethod
+    def of_files(spark: SparkSession, path: str, dialect: str) -> Engine:
+        """An engine of all rule files under a path, in the order of their names, or of a built-in set by its name."""
+        if path in BUILT_IN:
+            kind, text = BUILT_IN[path]
+            if kind != dialect:
+                raise ValueError(f"the set {path!r} is written for the {kind} dialect")
+            return Engine.of(text, dialect)
+        # rules are few and small; each file is compiled by itself, so that errors name its lines
+        texts = [r.value for r in spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("_file")).orderBy("_file").collect()]
+        if not texts:
+            raise ValueError(f"no rules at {path!r}")
+        engine, *more = [Engine.of(text, dialect) for text in texts]
+        for one in more:
+            engine = engine.with_rules(one)
+        return engine
+
     def with_rules(self, more: Engine) -> Engine:
         """Both engines' patterns, this one's first; equal tag definitions of scored rules count once."""
         if more.dialect != self.dialect:

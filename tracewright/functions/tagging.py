@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.plans.rules import Tagger
+from tracewright.plans.rules import USER_CONDITIONS, Tagger
 
 
 def recovery_inhibit(cmd: str) -> bool:
@@ -54,7 +54,7 @@ def condition(kind: str, arg: str) -> Column:
         "write_rate_ge": lambda: F.col("write_rate") >= int(arg), "dir_spread_ge": lambda: F.col("dir_spread") >= int(arg),
         "cmd_recovery_inhibit": lambda: (cmd.contains("delete") & (cmd.contains("shadow") | cmd.contains("catalog"))) | cmd.contains("recoveryenabled no") | (cmd.contains("resize") & cmd.contains("shadowstorage")),
     }
-    return made[kind]()
+    return made[kind]() if kind in made else USER_CONDITIONS[kind][1](arg)
 
 
 def tag_columns(events: DataFrame, taggers: list[Tagger], wanted: set[str] | None = None) -> DataFrame:

@@ -7,11 +7,10 @@ such rules are routed by host; all others by connected component.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from tracewright.model import OP_BITS, VERDICTS
-from tracewright.operators.replay import Forest, routed
+from tracewright.operators.replay import Forest, routed, walked
 from tracewright.plans.labelled import LabelledPattern, tag_key
 
 _RANK = {v: i for i, v in enumerate(VERDICTS)}
@@ -71,11 +70,6 @@ class LabelledEngine:
 def replay_labelled(events: DataFrame, patterns: list[LabelledPattern], host: str = "host") -> DataFrame:
     """``seq, verdict`` of ``events(seq, ts, op, actor, object, ttps)``; ``host`` is needed if a pattern's scope is free."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        engine = LabelledEngine(patterns)
-        part = part.sort_values(["ts", "seq"])
-        found = [engine.on_event(op, a, o, () if t is None else t) for op, a, o, t in zip(part.op, part.actor, part.object, part.ttps, strict=True)]
-        return pd.DataFrame({"seq": part.seq, "verdict": found})
-
+    step = lambda engine, ts, op, actor, object_, ttps: (engine.on_event(op, actor, object_, ttps or ()),)
     rows, key = (events, host) if any(p.scope == "free" for p in patterns) else (routed(events, False), "component")
-    return rows.select(key, "seq", "ts", "op", "actor", "object", "ttps").groupBy(key).applyInPandas(run, "seq long, verdict string")
+    return walked(rows, key, ["op", "actor", "object", "ttps"], lambda: LabelledEngine(patterns), step, "seq long, verdict string")

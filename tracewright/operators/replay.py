@@ -1,24 +1,27 @@
 """Replaying ordered events through rules: linear, partial-order (also bounded) and scored dialects.
 
 Events of different connected components never influence each other, so a batch is routed by component,
-sorted by ``(ts, seq)`` within it and replayed by a grouped map: one task a component, in parallel over
-components. The scored dialect connects by causal operations only and routes by the actor's component; the
-bounded dialect's ceilings count over a host, so it is routed by host.
+sorted by ``(ts, seq)`` within it (a sort that spills) and streamed through one live engine at a time: a task holds
+what its engine has learnt of the component it is at, never the component's events. Components without an event
+that begins a pattern never reach Python. The scored dialect connects by causal operations only and routes by the
+actor's component; the bounded dialect's ceilings count over a host, so it is routed by host.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.tagging import recovery_inhibit
-from tracewright.model import CAUSAL, KINDS, OP_BITS, VERDICTS
+from tracewright.model import CAUSAL, KINDS, OP_BITS, VERDICTS, op_bit
 from tracewright.operators.graph import connected_components
-from tracewright.plans.rules import Pattern, ScoredPattern, ScoredRules
+from tracewright.plans.rules import USER_CONDITIONS, Pattern, ScoredPattern, ScoredRules, Step
+from tracewright.storage import small
 
 _RANK = {v: i for i, v in enumerate(VERDICTS)}
 
@@ -64,6 +67,8 @@ class CoreEngine:
         self.lines = Forest(set, lambda a, b: a | b)
         self.disarmed: dict = {}
         self.edges = 0
+        #: Whether the last event became an edge: it had a known operation and wasn't stopped.
+        self.edge = False
 
     def storyline_of(self, key) -> set:
         root = self.lines.root(key)
@@ -71,11 +76,13 @@ class CoreEngine:
 
     def on_event(self, op: str, actor, object_, tags) -> str:
         bit, tags = OP_BITS.get(op, 0), frozenset(tags)
+        self.edge = False
         if not bit:
             return "ignore"
         if self.disarmed.get(actor, 0) & bit:
             return "block"
         self.edges += 1
+        self.edge = True
         line = self.lines.unite(actor, object_)
         fired = self._dag(line, bit, tags) if self.dag else self._linear(line, bit, tags)
         verdict = "ignore"
@@ -197,14 +204,17 @@ def order_bonus(at: dict[int, int]) -> float:
 class ScoredEngine:
     """The scored dialect: tags in band, windows, bindings, thresholds, and arming of a storyline."""
 
-    def __init__(self, rules: ScoredRules):
+    def __init__(self, rules: ScoredRules, conditions: dict | None = None):
         from tracewright.plans.rules import Meta
 
         self.rules, self.default = rules, Meta()
+        self.conditions = USER_CONDITIONS if conditions is None else conditions
         self.lines = Forest(dict, self._merge)
         self.armed: dict = {}
         self.rates: dict[str, deque] = {}
         self.log: list[str] = []
+        #: ``pattern:step`` of what the last event committed.
+        self.commits: list[str] = []
 
     def _merge(self, a: dict[int, Automaton], b: dict[int, Automaton]) -> dict[int, Automaton]:
         for i, other in b.items():
@@ -240,10 +250,12 @@ class ScoredEngine:
             "entropy_gt": lambda v: _number(attrs.get("entropy")) > float(v), "write_rate_ge": lambda v: rate >= int(v),
             "dir_spread_ge": lambda v: spread >= int(v), "cmd_recovery_inhibit": lambda v: recovery_inhibit(attrs.get("cmd", "")),
         }
-        return [t.tag for t in self.rules.taggers if all(test[k](v) for k, v in t.conditions)]
+        holds = lambda k, v: test[k](v) if k in test else self.conditions[k][0](op, attrs, v)
+        return [t.tag for t in self.rules.taggers if all(holds(k, v) for k, v in t.conditions)]
 
     def on_event(self, ts: int, op: str, actor: str, object_: str, attrs: dict, tags: list[str] | None = None) -> tuple[str, str, str, float, str]:
         """``(decision, kind, pattern, score, reason)``."""
+        self.commits.clear()
         self.lines.root(actor)
         self.lines.root(object_)
         line = self._unite(actor, object_) if op in CAUSAL else self.lines.root(actor)
@@ -281,6 +293,7 @@ class ScoredEngine:
         auto.bound |= dict(wanted)
         auto.done |= 1 << s.bit
         auto.at[s.bit] = ts
+        self.commits.append(f"{p.name}:{s.name}")
         return True
 
     def score(self, auto: Automaton, p: ScoredPattern) -> float:
@@ -321,42 +334,77 @@ def routed(events: DataFrame, causal_only: bool) -> DataFrame:
     return events.join(found.withColumnsRenamed({"node": "actor"}), "actor", "left").withColumn("component", F.coalesce("component", "actor"))
 
 
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def walked(rows: DataFrame, key: str, columns: list[str], make: Callable, step: Callable, ddl: str) -> DataFrame:
+    """``seq`` and what ``step(engine, ts, *columns)`` says of each row, through one engine a key, in ``(ts, seq)`` order.
+
+    ``ddl`` names the columns, ``seq`` first. One key's rows are one task's, but only a batch of them is held.
+    """
+    names, kinds = zip(*(c.split() for c in ddl.split(", ")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine, now = None, object()
+        for batch in batches:
+            out = []
+            for this, seq, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if this != now:
+                    engine, now = make(), this
+                out.append((seq, *step(engine, *row)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
+
+    return rows.select(key, "seq", "ts", *columns).repartition(key).sortWithinPartitions(key, "ts", "seq").mapInArrow(run, ddl)
+
+
+def step_match(steps: list[Step]) -> Column:
+    """Whether an event's operation and tags match any of the steps."""
+    found = F.lit(False)
+    for s in steps:
+        test = op_bit(F.col("op")) != 0
+        if s.ops:
+            test = test & (op_bit(F.col("op")).bitwiseAND(s.ops) != 0)
+        for t in s.tags:
+            test = test & F.array_contains("ttps", t)
+        found = found | test
+    return F.coalesce(found, F.lit(False))
+
+
 def replay_core(events: DataFrame, patterns: list[Pattern], dag: bool) -> DataFrame:
-    """``seq, verdict`` of ``events(seq, ts, op, actor, object, ttps)``."""
+    """``seq, verdict, edge`` of ``events(seq, ts, op, actor, object, ttps)``; edge: whether the event became an edge of the graph."""
+    rows = routed(events, False)
+    begins = [s for p in patterns for s in (p.steps if dag else p.steps[:1]) if not s.prereq]
+    live = small(rows.where(step_match(begins)).select("component").distinct())
+    step = lambda engine, ts, op, actor, object_, ttps: (engine.on_event(op, actor, object_, ttps or ()), engine.edge)
+    told = walked(rows.join(live, "component", "left_semi"), "component", ["op", "actor", "object", "ttps"], lambda: CoreEngine(patterns, dag), step, "seq long, verdict string, edge boolean")
+    quiet = rows.join(live, "component", "left_anti").select("seq", F.lit("ignore").alias("verdict"), F.coalesce(op_bit(F.col("op")) != 0, F.lit(False)).alias("edge"))
+    return told.unionByName(quiet)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        engine = CoreEngine(patterns, dag)
-        part = part.sort_values(["ts", "seq"])
-        out = [engine.on_event(*row) for row in zip(part.op, part.actor, part.object, part.ttps, strict=True)]
-        return pd.DataFrame({"seq": part.seq, "verdict": out})
 
-    return routed(events, False).select("component", "seq", "ts", "op", "actor", "object", "ttps").groupBy("component").applyInPandas(run, "seq long, verdict string")
+def edge_log(events: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``seq, ts, op, actor, object`` of the events that became edges: those of a known operation that weren't stopped."""
+    return events.join(verdicts.where("edge").select("seq"), "seq").select("seq", "ts", "op", "actor", "object")
 
 
 def replay_bounded(events: DataFrame, patterns: list[Pattern], host: str = "host", **ceilings: int) -> DataFrame:
     """As ``replay_core`` under ceilings that hold for each host."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        engine = BoundedEngine(patterns, **ceilings)
-        part = part.sort_values(["ts", "seq"])
-        return pd.DataFrame({"seq": part.seq, "verdict": [engine.on_event(*row) for row in zip(part.op, part.actor, part.object, part.ttps, strict=True)]})
-
-    return events.groupBy(host).applyInPandas(run, "seq long, verdict string")
+    step = lambda engine, ts, op, actor, object_, ttps: (engine.on_event(op, actor, object_, ttps or ()),)
+    return walked(events, host, ["op", "actor", "object", "ttps"], lambda: BoundedEngine(patterns, **ceilings), step, "seq long, verdict string")
 
 
 def replay_scored(events: DataFrame, rules: ScoredRules) -> DataFrame:
-    """``seq, decision, kind, pattern, score, reason`` of ``events(seq, ts, op, actor, object, attrs)``.
+    """``seq, decision, kind, pattern, score, reason, log, commits`` of ``events(seq, ts, op, actor, object, attrs)``.
 
-    With a ``tags`` column the events' own tags are used in place of the rules' taggers.
+    With a ``tags`` column the events' own tags are used in place of the rules' taggers. ``log`` holds what the event
+    made the engine report: arming and blocking; ``commits`` the steps it did, as ``pattern:step``, joined by commas.
     """
-    given = "tags" in events.columns
+    given, own = "tags" in events.columns, dict(USER_CONDITIONS)  # the workers have no registry of their own
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        engine = ScoredEngine(rules)
-        part = part.sort_values(["ts", "seq"])
-        tags = part.tags if given else [None] * len(part)
-        rows = [engine.on_event(int(ts), op, a, o, dict(at or {}), None if t is None else list(t)) for ts, op, a, o, at, t in zip(part.ts, part.op, part.actor, part.object, part["attrs"], tags, strict=True)]
-        return pd.DataFrame(rows, columns=["decision", "kind", "pattern", "score", "reason"]).assign(seq=part.seq.to_numpy())
+    def step(engine: ScoredEngine, ts, op, actor, object_, attrs, tags=None) -> tuple:
+        engine.log.clear()
+        found = engine.on_event(int(ts), op, actor, object_, dict(attrs or {}), None if tags is None else list(tags))
+        return (*found, "\n".join(engine.log), ",".join(engine.commits))
 
-    columns = ["component", "seq", "ts", "op", "actor", "object", "attrs", *(["tags"] if given else [])]
-    return routed(events, True).select(*columns).groupBy("component").applyInPandas(run, "seq long, decision string, kind string, pattern string, score double, reason string")
+    columns = ["op", "actor", "object", "attrs", *(["tags"] if given else [])]
+    return walked(routed(events, True), "component", columns, lambda: ScoredEngine(rules, own), step, "seq long, decision string, kind string, pattern string, score double, reason string, log string, commits string")

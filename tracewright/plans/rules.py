@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from tracewright.model import OP_BITS, OPS
@@ -69,7 +70,7 @@ def _step(words: list[str], dag: bool, line: int) -> Step:
             action, disarm = "disarm", _mask(a[7:-1], ",", line)
         else:
             raise RuleError(f"unknown action {a!r}", line)
-    bits = lambda text: [int(x) if x.isdigit() and int(x) < 64 else _fail(f"bad bit {x!r}", line) for x in text.split(",")]
+    bits = lambda text: [int(x) if x.isascii() and x.isdigit() and int(x) < 64 else _fail(f"bad bit {x!r}", line) for x in text.split(",")]
     if dag and "bit" not in values:
         raise RuleError("a step needs a bit", line)
     return Step(
@@ -246,13 +247,29 @@ class ScoredRules:
 
 
 CONDITIONS = ("op", "image_base_in", "target_image_base", "attr_true", "entropy_gt", "write_rate_ge", "dir_spread_ge", "cmd_recovery_inhibit")
+#: Conditions added by ``add_condition``: of an event's operation and attributes in Python, and as a column.
+USER_CONDITIONS: dict[str, tuple[Callable[[str, dict, str], bool], Callable]] = {}
+
+
+def add_condition(name: str, test: Callable[[str, dict, str], bool], column: Callable) -> None:
+    """A tagger condition of one's own, ``name=argument`` in a rule.
+
+    ``test(op, attrs, argument)`` serves the engines, ``column(argument)`` tables: a Column over ``op, attrs, write_rate,
+    dir_spread``, of built-in functions or a pandas UDF.
+    """
+    if name in CONDITIONS or not name.isidentifier():
+        raise ValueError(f"{name!r} is taken or no name")
+    USER_CONDITIONS[name] = test, column
+
+
 _FLAGS = {"enforceable", "optional", "block"}
 
 
-def compile_scored(text: str) -> ScoredRules:
+def compile_scored(text: str, strict: bool = True) -> ScoredRules:
     """Rules of one directive a line: ttp, tagger, pattern, step; ``#`` starts a comment anywhere.
 
-    A repeated bit or a prerequisite that can't be reached is an error.
+    A repeated bit or a prerequisite that can't be reached is an error, unless ``strict`` is off: such steps are
+    then kept as they are written, and simply never fire.
     """
     out = ScoredRules()
     for line, raw in enumerate(text.splitlines(), 1):
@@ -270,7 +287,7 @@ def compile_scored(text: str) -> ScoredRules:
                     raise RuleError(f"unknown tactic {values['tactic']!r}", line)
                 out.meta[rest[0]] = Meta(values["tactic"], float(values["severity"]), float(values["rarity"]))
             elif kind == "tagger":
-                if bad := [k for k, _ in pairs if k not in CONDITIONS]:
+                if bad := [k for k, _ in pairs if k not in CONDITIONS and k not in USER_CONDITIONS]:
                     raise RuleError(f"unknown condition {bad[0]!r}", line)
                 out.taggers.append(Tagger(rest[0], tuple(pairs)))
             elif kind == "pattern":
@@ -280,22 +297,22 @@ def compile_scored(text: str) -> ScoredRules:
             else:
                 if not out.patterns:
                     raise RuleError("a step stands before any pattern", line)
-                _add_step(out.patterns[-1], rest[0], pairs, values, line)
+                _add_step(out.patterns[-1], rest[0], pairs, values, line, strict)
         except KeyError as e:
             raise RuleError(f"{kind} needs {e.args[0]}", line) from None
         except ValueError as e:
             raise e if isinstance(e, RuleError) else RuleError(str(e), line) from None
-    for p in out.patterns:
+    for p in out.patterns if strict else ():
         validate(Pattern(p.name, tuple(Step(bit=s.bit, prereq=s.prereq) for s in p.steps)))
     return out
 
 
-def _add_step(pattern: ScoredPattern, name: str, pairs: list, values: dict, line: int) -> None:
+def _add_step(pattern: ScoredPattern, name: str, pairs: list, values: dict, line: int, strict: bool) -> None:
     how, _, what = values["match"].partition(":")
     if how not in ("ttp", "ttp_any", "op") or not what or how == "op" and what not in OPS:
         raise RuleError(f"bad match {values['match']!r}", line)
     bit = int(values["bit"])
-    if not 0 <= bit < 64 or any(s.bit == bit for s in pattern.steps):
+    if not 0 <= bit < 64 or strict and any(s.bit == bit for s in pattern.steps):
         raise RuleError(f"bit {bit} is out of range or used twice", line)
     binds = tuple(tuple(v.split(":", 1)) for k, v in pairs if k == "bind")
     if any(len(b) != 2 or b[1] not in ("object", "actor", "image") for b in binds):

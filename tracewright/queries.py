@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tracewright.functions.tagging import rate_state
 from tracewright.model import CAUSAL, from_telemetry, op_dimension, tagged
 from tracewright.operators.graph import connected_components
-from tracewright.operators.replay import replay_bounded, replay_core, replay_scored
-from tracewright.plans.rules import compile_rules, compile_scored, referenced_tags
+from tracewright.operators.replay import edge_log, replay_bounded, replay_core, replay_scored
+from tracewright.plans.rules import Meta, compile_rules, compile_scored, referenced_tags
 from tracewright.storage import small
 
+# The rules of the golden replays, with the techniques' metadata.
 LINEAR = """
 pattern encrypt_in_order
     step ops=exec ttps=T1059
@@ -145,7 +146,9 @@ def order_bonus(spark, sf_dir):
 
 def kill_chain_score(spark, sf_dir):
     meta = spark.createDataFrame([(i, m[1], m[2], m[3]) for i, m in enumerate(META)], "bit int, tactic string, severity double, rarity double")
-    parts = _steps(spark, sf_dir).join(F.broadcast(meta), "bit").groupBy("actor").agg(F.count_distinct("tactic").alias("stages"), F.sum("severity").alias("severity"), F.sum("rarity").alias("rarity"))
+    default = Meta()  # of a step whose tag has no metadata
+    known = _steps(spark, sf_dir).join(F.broadcast(meta), "bit", "left").fillna({"tactic": default.tactic, "severity": default.severity, "rarity": default.rarity})
+    parts = known.groupBy("actor").agg(F.count_distinct("tactic").alias("stages"), F.sum("severity").alias("severity"), F.sum("rarity").alias("rarity"))
     score = F.round(2 * F.col("stages") + 0.3 * F.col("severity") + F.col("order_bonus") + 2 * F.col("rarity"), 6)
     return parts.join(order_bonus(spark, sf_dir), "actor").select("actor", "stages", score.alias("score"))
 
@@ -215,11 +218,23 @@ def sequence_gaps(spark, sf_dir):
 
 
 def linear_replay(spark, sf_dir):
-    return replay_core(_core_events(spark, sf_dir), compile_rules(LINEAR, False), False)
+    return replay_core(_core_events(spark, sf_dir), compile_rules(LINEAR, False), False).select("seq", "verdict")
 
 
 def dag_replay(spark, sf_dir):
-    return replay_core(_core_events(spark, sf_dir), compile_rules(DAG, True), True)
+    return replay_core(_core_events(spark, sf_dir), compile_rules(DAG, True), True).select("seq", "verdict")
+
+
+def dag_edges(spark, sf_dir):
+    """The edge log of the partial-order replay: every event that wasn't stopped."""
+    rows = _core_events(spark, sf_dir)
+    return edge_log(rows, replay_core(rows, compile_rules(DAG, True), True))
+
+
+def shared_replay(spark, sf_dir):
+    """The partial-order replay where actors meet in what they touch, so that storylines merge all the time."""
+    rows = _core_events(spark, sf_dir).drop("object").join(events(spark, sf_dir).select("seq", F.concat(F.lit("file:"), "k").alias("object")), "seq")
+    return replay_core(rows, compile_rules(DAG, True), True).select("seq", "verdict")
 
 
 def bounded_replay(spark, sf_dir):
@@ -239,7 +254,7 @@ def replay_verdicts(spark, sf_dir):
 ALL = (
     normalize_events, op_dimension_join, tag_events, rate_and_spread, linear_first_match, dag_first_match, seg_window_match, binding_match, disarm_gate, event_verdict, order_bonus,
     kill_chain_score, provenance_edges, storyline_components, storyline_size_topk, causal_components, shared_components, shared_size_topk, referenced_ttps, tagger_prune, arm_commands, batch_deny, rarity_baseline, sequence_gaps,
-    linear_replay, dag_replay, bounded_replay, scored_replay, replay_verdicts,
+    linear_replay, dag_replay, dag_edges, shared_replay, bounded_replay, scored_replay, replay_verdicts,
 )
 
 
@@ -275,6 +290,22 @@ c AS (SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a)"""
 _DENY = f"coalesce(seq > c3 AND op IN {GATED}, false)"
 
 
+def _verdicts(linear: bool) -> str:
+    """Every event's verdict in closed form, where an actor's storyline is its own.
+
+    A start always counts; any other step counts if something has come to the step before it since the last event
+    of its own kind, which took all there was along. Once the last step has disarmed, gated events are stopped.
+    """
+    last = lambda test, rows: f"max(CASE WHEN {test} THEN seq END) OVER (PARTITION BY actor ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND {rows})"
+    spoils = f"t1490 AND coalesce({'look_done' if linear else 'start_now'} > coalesce(spoil_was, -1), false)"
+    return _chain(linear) + f""",
+v0 AS (SELECT g.seq, g.actor, g.op, c3, {_DENY} AS stopped, t1059 AND NOT {_DENY} AS t1059, t1083, t1490 AND NOT {_DENY} AS t1490 FROM g LEFT JOIN m USING (actor)),
+v1 AS (SELECT *, {last('t1059', 'CURRENT ROW')} AS start_now, {last('t1083', '1 PRECEDING')} AS look_was, {last('t1490', '1 PRECEDING')} AS spoil_was FROM v0),
+v2 AS (SELECT *, t1083 AND coalesce(start_now > coalesce(look_was, -1), false) AS looks FROM v1),
+v3 AS (SELECT *, {last('looks', '1 PRECEDING')} AS look_done FROM v2),
+v AS (SELECT seq, actor, CASE WHEN stopped THEN 'block' WHEN seq = c3 THEN 'disarm' WHEN t1059 OR looks OR {spoils} THEN 'inspect' ELSE 'ignore' END AS verdict, NOT stopped AS edge FROM v3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w, x = _E + " SELECT ", _chain(False) + " SELECT "
     return {
@@ -306,5 +337,9 @@ FROM e LEFT JOIN wr USING (seq) WINDOW h AS (PARTITION BY e.actor ORDER BY e.ts_
         "batch_deny": x + f"seq // 100 AS batch, bool_or({_DENY}) AS deny, CAST(sum(CASE WHEN {_DENY} THEN 1 ELSE 0 END) AS BIGINT) AS denies FROM e LEFT JOIN m USING (actor) GROUP BY batch",
         "rarity_baseline": w + """CAST(ttp AS INT) AS ttp, count(DISTINCT actor) AS actors, round(1 / count(DISTINCT actor), 6)::DOUBLE AS rarity FROM (
   SELECT actor, 1059 AS ttp FROM g WHERE t1059 UNION ALL SELECT actor, 1083 FROM g WHERE t1083 UNION ALL SELECT actor, 1490 FROM g WHERE t1490 UNION ALL SELECT actor, 1486 FROM g WHERE t1486) GROUP BY ttp""",
+        "linear_replay": _verdicts(True) + " SELECT seq, verdict FROM v",
+        "dag_replay": _verdicts(False) + " SELECT seq, verdict FROM v",
+        "dag_edges": _verdicts(False) + " SELECT seq, ts_ms AS ts, op, 'proc:' || actor AS actor, 'file:' || object AS object FROM v JOIN e USING (seq, actor) WHERE edge",
+        "replay_verdicts": _verdicts(False) + " SELECT actor, CAST(count(*) FILTER (verdict = 'block') AS BIGINT) AS blocked, CAST(count(*) FILTER (verdict = 'disarm') AS BIGINT) AS disarmed FROM v GROUP BY actor",
         "sequence_gaps": w + f"actor, seq, gap_ms FROM (SELECT actor, seq, ts_ms - lag(ts_ms) OVER (PARTITION BY actor ORDER BY ts_ms, seq) AS gap_ms FROM e) WHERE gap_ms > {SEGMENT_MS}",
     }

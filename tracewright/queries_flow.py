@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.engine import Engine
+from tracewright.engine import BUILT_IN, Engine
 from tracewright.functions.kernel import kernel_events, worth_recording
 from tracewright.model import op_bit
 from tracewright.plans.rules import compile_rules
@@ -16,12 +16,7 @@ from tracewright.sinks import control, reports
 from tracewright.sources.reader import GOLDEN, read_events
 from tracewright.streaming.flow import answered, missing, once
 
-LSASS = """
-ttp T1003 tactic=credential_access severity=9 rarity=0.85
-tagger T1003 op=read target_image_base=lsass.exe attr_true=vm_read
-pattern credential_dump scope=same_storyline theta_alert=4 theta_block=6
-step read_memory bit=0 match=ttp:T1003 seg_window=120000 enforceable block
-"""
+LSASS = BUILT_IN["credentials"][1]
 #: How long a request of the demonstration waits: telemetry is spread over a month.
 ANSWER = "12 hours"
 

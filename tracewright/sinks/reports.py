@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,15 +38,20 @@ def outcome_lines(events: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def chains(events: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The path that led to each block: ``component, block_seq, step, seq, ts, op, actor, object, kind``.
+    """The path that led to each denied event: ``component, block_seq, step, seq, ts, op, actor, object, kind``.
 
-    ``events`` has ``component``; a chain holds the component's events that moved a pattern, up to the block.
+    ``events`` has ``component``, ``verdicts`` is ``replay_scored``'s. A chain holds the component's events up to the
+    denied one that committed a step of its pattern (of any, where an armed storyline denies without one), and itself.
+    A pattern has few steps, so a chain is short however many events a component has.
     """
-    moved = events.join(verdicts.where("kind <> 'None' or decision = 'Deny'"), "seq").select("component", "seq", "ts", "op", "actor", "object", "kind", "decision")
-    blocks = moved.where("decision = 'Deny'").groupBy("component").agg(F.min(F.struct("ts", "seq")).alias("b")).select("component", F.col("b.ts").alias("block_ts"), F.col("b.seq").alias("block_seq"))
-    path = moved.join(blocks, "component").where("struct(ts, seq) <= struct(block_ts, block_seq)")
-    made = path.groupBy("component", "block_seq").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "op", "actor", "object", "kind"))).alias("path"))
-    return made.select("component", "block_seq", F.posexplode("path").alias("step", "e")).select("component", "block_seq", "step", "e.seq", "e.ts", "e.op", "e.actor", "e.object", "e.kind")
+    said = events.select("component", "seq", "ts", "op", "actor", "object").join(verdicts.where("commits <> '' or decision = 'Deny'").select("seq", "kind", "pattern", "decision", "commits"), "seq")
+    at = F.struct("ts", "seq")
+    denied = said.where("decision = 'Deny'").select("component", F.col("seq").alias("block_seq"), at.alias("_end"), F.col("pattern").alias("_pattern"))
+    did = said.where("commits <> ''").withColumn("_of", F.explode(F.array_distinct(F.transform(F.split("commits", ","), lambda c: F.substring_index(c, ":", 1)))))
+    near = did.join(denied, "component").where(at <= F.col("_end")).where("_pattern = '' or _of = _pattern").select("component", "block_seq", "seq", "ts", "op", "actor", "object", "kind")
+    own = said.where("decision = 'Deny'").select("component", F.col("seq").alias("block_seq"), "seq", "ts", "op", "actor", "object", "kind")
+    step = F.row_number().over(Window.partitionBy("component", "block_seq").orderBy("ts", "seq")) - 1
+    return near.unionByName(own).distinct().withColumn("step", step).select("component", "block_seq", "step", "seq", "ts", "op", "actor", "object", "kind")
 
 
 def against(expected: DataFrame, actual: DataFrame, column: str = "verdict") -> DataFrame:

@@ -23,17 +23,16 @@ def once(records: DataFrame, keys: list[str], time: str, late: str = "10 minutes
 def answered(requests: DataFrame, verdicts: DataFrame, late: str = "1 second", within: str = ANSWER_WITHIN) -> DataFrame:
     """``req_id, asked_at, deny`` of ``requests(req_id, asked_at)`` and ``verdicts(req_id, answered_at, deny)``.
 
-    A request whose verdict is missing, or comes after ``within``, is allowed. In a stream it leaves once the
-    watermark has passed its time.
+    A request whose verdict is missing, or comes after ``within``, is allowed; one is denied if any verdict in time
+    denies. Requests of equal id and time are one, in a table as in a stream, where each leaves once the watermark
+    has passed its time.
     """
     v = verdicts.select(F.col("req_id").alias("_id"), "answered_at", F.col("deny").alias("_deny"))
     if requests.isStreaming:
         requests, v = requests.withWatermark("asked_at", late), v.withWatermark("answered_at", late)
     near = F.expr(f"req_id = _id and answered_at >= asked_at and answered_at <= asked_at + interval {within}")
     joined = requests.join(v, near, "left")
-    if requests.isStreaming:
-        return joined.select("req_id", "asked_at", F.coalesce("_deny", F.lit(False)).alias("deny"))
-    return joined.groupBy("req_id", "asked_at").agg(F.coalesce(F.bool_or("_deny"), F.lit(False)).alias("deny"))
+    return joined.groupBy("req_id", "asked_at").agg(F.coalesce(F.max("_deny"), F.lit(False)).alias("deny"))
 
 
 def missing(events: DataFrame, host: str = "host") -> DataFrame:

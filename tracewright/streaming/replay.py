@@ -17,14 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewright.operators.labelled import LabelledEngine
 from tracewright.operators.replay import BoundedEngine, CoreEngine, ScoredEngine
 from tracewright.plans.labelled import LabelledPattern
-from tracewright.plans.rules import Pattern, ScoredRules
+from tracewright.plans.rules import USER_CONDITIONS, Pattern, ScoredRules
 
 _FOREST = ("up", "size", "value")
 
 
 def _save(engine) -> bytes:
     """What an engine has learnt; its rules are not part of it."""
-    kept = {k: v for k, v in vars(engine).items() if k not in ("patterns", "rules", "default", "lines", "log")}
+    kept = {k: v for k, v in vars(engine).items() if k not in ("patterns", "rules", "default", "lines", "log", "conditions", "commits")}
     lines = engine.lines if isinstance(engine, BoundedEngine) else {k: getattr(engine.lines, k) for k in _FOREST}
     return pickle.dumps((kept, lines))
 
@@ -92,4 +92,5 @@ def replay_scored_stream(events: DataFrame, rules: ScoredRules, key: str = "host
         found = engine.on_event(int(row.ts), row.op, row.actor, row.object, dict(row.attrs or {}))
         return (*found, "\n".join(engine.log))
 
-    return _stateful(events, lambda: ScoredEngine(rules), step, "decision string, kind string, pattern string, score double, reason string, log string", key, idle)
+    own = dict(USER_CONDITIONS)
+    return _stateful(events, lambda: ScoredEngine(rules, own), step, "decision string, kind string, pattern string, score double, reason string, log string", key, idle)
