@@ -6,12 +6,15 @@ above. A source is taken whole as often as its target allows. The remaining budg
 of documents of each exact length: first the same fraction of every length, then long ones greedily until
 the rest is below ``DP_WORDS``, then a bounded-knapsack dynamic program that reaches the largest possible
 sum for the rest. Where words are still missing, the program runs over the whole budget, in units of the lengths'
-common step, if it fits ``DP_BITS``; a source of more and longer lengths keeps the first fit. Documents of a length are taken by a seeded hash of their id.
+common step, if it fits ``DP_BITS``; a source of more and longer lengths keeps the first fit. Documents of a length are
+taken in the order of a seeded hash of id and text.
 
 Only counts by source and length are gathered, never documents; a length that very many documents share is
 ranked within one of its hash ranges of about ``RANGE_ROWS`` documents. The driver sees one total a source.
-Null texts are empty: size 0, nothing taken. Rows that repeat a doc_id, source and size are taken alike (a
-source's sum may then be off by their size). Null ids are hashed like any id. Empty tables give no rows.
+Null texts are empty: size 0, nothing taken. Null ids are hashed like any id. Repeated rows are documents of
+their own: where a quota ends among equal ones, as many of them are taken as it leaves, so that a source's
+sum is the fitted one however many rows are equal; these are counted within the parts they are read in. A very
+long text is one document. Empty tables give no rows. Other columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -114,14 +117,15 @@ def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def _hash(doc_id: str, seed: int):
-    return F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
+def _hash(doc_id: str, text: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text).cast("string"))
 
 
 def plan(sizes: DataFrame, seed: int) -> tuple[DataFrame, dict, dict]:
     """Per source and length ``_rounds, _extra, _of, _limit`` for ``sizes(_source, _size, _hash)``, totals, targets.
 
-    A document is taken ``_rounds`` times, and once more if ``_extra = _of`` or its hash is at most ``_limit``.
+    A document is taken ``_rounds`` times, and once more if ``_extra = _of`` or its hash is below ``_limit``; so are
+    ``_some`` of the ``_alike`` documents whose hash is the limit.
     """
     totals = {r[0]: int(r[1] or 0) for r in sizes.groupBy("_source").agg(F.sum("_size")).collect()}
     goals = targets(totals)
@@ -140,22 +144,32 @@ def plan(sizes: DataFrame, seed: int) -> tuple[DataFrame, dict, dict]:
     ranged = sizes.select(key, "_size", "_hash").join(part, ["_key", "_size"]).withColumn("_range", F.expr("shiftright(((shiftright(_hash, 32) + 2147483648) * _ranges), 32)"))
     below = F.sum("_n").over(Window.partitionBy("_key", "_size").orderBy("_range"))
     edge = ranged.groupBy("_key", "_size", "_extra", "_range").agg(F.count("*").alias("_n")).withColumn("_to", below).where("_to >= _extra and _to - _n < _extra").selectExpr("_key", "_size", "_range", "_extra - _to + _n as _nth")
-    place = F.row_number().over(Window.partitionBy("_key", "_size").orderBy("_hash"))
-    limit = ranged.join(small(edge), ["_key", "_size", "_range"]).withColumn("_place", place).where("_place = _nth").selectExpr("_key", "_size", "_hash as _limit")
+    upto = F.sum("_alike").over(Window.partitionBy("_key", "_size").orderBy("_hash"))
+    near = ranged.join(small(edge), ["_key", "_size", "_range"]).groupBy("_key", "_size", "_nth", "_hash").agg(F.count("*").alias("_alike")).withColumn("_upto", upto)
+    limit = near.where("_upto >= _nth and _upto - _alike < _nth").selectExpr("_key", "_size", "_hash as _limit", "_nth - _upto + _alike as _some", "_alike")
     return stored(counts.join(limit, ["_key", "_size"], "left"), "mix"), totals, goals
 
 
 def _copies(sized: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows with ``_copies``, how often each is taken."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
-    taken = F.col("_rounds") + F.expr("int(_extra > 0 and (_extra = _of or _hash <= _limit))")
-    return sized.withColumn("_key", key).join(small(chosen), ["_key", "_size"]).withColumn("_copies", taken)
+    joined = sized.withColumn("_key", key).join(small(chosen), ["_key", "_size"])
+    more = joined.withColumn("_more", F.expr("_extra > 0 and (_extra = _of or _hash < _limit or _hash = _limit and _some = _alike)"))
+    if not chosen.where("_some < _alike").isEmpty():  # a quota ends among equal documents: these are numbered, part by part
+        cut = F.coalesce(F.expr("_hash = _limit and _some < _alike"), F.lit(False))
+        equal = stored(more.where(cut).withColumn("_part", F.spark_partition_id()), "equal")
+        before = equal.groupBy("_key", "_size", "_part").agg(F.count("*").alias("_n"))
+        before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("_key", "_size").orderBy("_part")) - F.col("_n")).drop("_n")
+        place = F.row_number().over(Window.partitionBy("_key", "_size", "_part").orderBy("_hash"))
+        numbered = equal.join(small(before), ["_key", "_size", "_part"]).withColumn("_more", F.col("_before") + place <= F.col("_some"))
+        more = more.where(~cut).unionByName(numbered.select(more.columns))
+    return more.withColumn("_copies", F.col("_rounds") + F.coalesce(F.col("_more").cast("int"), F.lit(0)))
 
 
 def mix(docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
     spark = tuned(docs.sparkSession)
-    sizes = stored(with_size(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), F.col(text).alias("text"))).select("doc_id", "_source", "_size", _hash("doc_id", seed).alias("_hash")), "sizes")
+    sizes = stored(with_size(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), F.col(text).alias("text"))).select("doc_id", "_source", "_size", _hash("doc_id", "text", seed).alias("_hash")), "sizes")
     chosen, totals, goals = plan(sizes, seed)
     of_source = spark.createDataFrame([("n" if s is None else "s" + s, totals[s], float(goals[s])) for s in totals], "_key string, source_size long, target double")
     out = _copies(sizes, chosen).join(small(of_source, len(totals)), "_key")
@@ -166,7 +180,7 @@ def mixed_rows(docs: DataFrame, seed: int = 17, doc_id: str = "doc_id", source:
     """The mix itself: rows of ``docs``, each as often as it is taken. Rows without words stay once."""
     tuned(docs.sparkSession)
     inner, i, s, t = renamed(docs, doc_id, source, text)
-    sized = with_size(inner, t).withColumns({"_source": F.col(s), "_hash": _hash(i, seed)})
+    sized = with_size(inner, t).withColumns({"_source": F.col(s), "_hash": _hash(i, t, seed)})
     chosen, _, _ = plan(stored(sized.select("_source", "_size", "_hash"), "sizes"), seed)
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.col("_copies"))
     return _copies(sized, chosen).withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(F.col("_copy") <= times).select(*inner.columns).toDF(*docs.columns)
