@@ -14,6 +14,7 @@ Null texts count as empty, all empty and blank texts are equal. Repeated rows ar
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -71,6 +72,12 @@ class OpenTable:
                 self.slots[at] = k
 
 
+def scratch() -> str | None:
+    """Where a task's own spill files go: the folders that Spark gives its workers for spilling, one by process."""
+    found = [x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(x)]
+    return found[os.getpid() % len(found)] if found else None
+
+
 def grace(entries: Iterator[list], budget: int = BUDGET, level: int = 0) -> Iterator[list]:
     """Entries merged by content. Past the budget, they spill by ``FANOUT_BITS`` of the hash for each level."""
     table = OpenTable()
@@ -82,7 +89,7 @@ def grace(entries: Iterator[list], budget: int = BUDGET, level: int = 0) -> Iter
     else:
         yield from table.entries
         return
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=scratch()) as folder:
         files = [open(f"{folder}/{k}", "w+b") for k in range(1 << FANOUT_BITS)]  # noqa: SIM115
         shift = 60 - FANOUT_BITS * level
 

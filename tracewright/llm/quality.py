@@ -6,7 +6,9 @@ its normal equations, partial sums are merged in groups, and the driver solves o
 are calibrated by isotonic regression over counts in fixed bins. All rows with a usable label are used.
 
 Null texts are empty; an empty text has all-zero statistics and a score like any other. Null labels are left
-out; without labels of both kinds every score is 0.5. Repeated rows count as often as they occur.
+out; without labels of both kinds every score is 0.5. Repeated rows count as often as they occur, null ids are
+scored as any; an empty table gives no rows. A very long text is read whole. Other columns are kept by
+``accepted`` and else ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.calibration import calibrated, isotonic
 from tracewright.llm.common import remainder, texts, tuned
-from tracewright.storage import small, stored
+from tracewright.storage import BROADCAST_ROWS, small, stored
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -118,9 +120,14 @@ def partition_sums(rows: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarr
     return sum((np.frombuffer(r[0]).reshape(shape) for r in merged.collect()), np.zeros(shape))
 
 
+def marks(labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2) -> DataFrame:
+    """``doc_id, y`` of the labels that may be learned from."""
+    return labels.where(remainder("doc_id", modulus) != held_out).select("doc_id", F.col(label).cast("double").alias("y")).where("y is not null and doc_id is not null")
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, seed: int = 5) -> Model:
     """Learn from the labelled rows whose crc32(doc_id) mod ``modulus`` isn't ``held_out``."""
-    marked = labels.where(remainder("doc_id", modulus) != held_out).select("doc_id", F.col(label).cast("double").alias("y")).where("y is not null")
+    marked = marks(labels, label, modulus, held_out)
     train = stored(stats.join(small(marked), "doc_id").select("stats", "y"), "train")
     width = len(statistics(""))
 
@@ -171,8 +178,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows whose score reaches the threshold, with the columns they had."""
-    model = fit(features(docs), labels)
+    """The rows whose score reaches the threshold, with the columns they had.
+
+    Statistics to learn from are taken of labelled rows only, unless there are too many labels to broadcast.
+    """
+    named = marks(labels).select("doc_id").distinct()
+    few = named.count() <= BROADCAST_ROWS
+    model = fit(features(docs.join(F.broadcast(named), "doc_id", "left_semi") if few else docs), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
