@@ -4,7 +4,7 @@ import json
 import duckdb
 import pytest
 
-from tracewright import queries, queries_keep
+from tracewright import queries, queries_cases, queries_keep
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,14 +13,17 @@ def plain(rows):
     return sorted((tuple(sorted((k, str(round(v, 6) if isinstance(v, float) else v)) for k, v in r.items())) for r in rows))
 
 
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+QUERIES, ORACLES = queries.queries() | queries_cases.queries(), queries.oracle_sql() | queries_cases.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
-    cur = con.execute(queries.oracle_sql()[name])
+    cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     want = [dict(zip(names, r, strict=True)) for r in cur.fetchall()]
-    assert plain(r.asDict() for r in queries.queries()[name](spark, SF).collect()) == plain(want)
+    assert plain(r.asDict() for r in QUERIES[name](spark, SF).collect()) == plain(want)
 
 
 def test_replays_agree(spark):
@@ -55,7 +58,7 @@ def test_whole_storylines(spark, tmp_path, monkeypatch):
     k = [json.loads(r[5])["k"] for r in rows]
     causal = [(a, b) for (_, _, a, kind, _, _), b in zip(rows, k, strict=True) if kind in ("signup", "purchase", "error") and a is not None]
     own = union_find((f"proc:{a}", f"file:{a * 1000 + b}") for a, b in causal)
-    assert {r.node: r.component for r in queries.causal_components(spark, str(tmp_path)).collect()} == own
+    assert {r.node: r.component for r in queries.storyline_components(spark, str(tmp_path)).collect()} == own
     shared = union_find((f"proc:{a}", f"file:{b}") for a, b in causal)
     assert {r.node: r.component for r in queries.shared_components(spark, str(tmp_path)).collect()} == shared
     sizes = collections.Counter(shared.values())
@@ -65,5 +68,5 @@ def test_whole_storylines(spark, tmp_path, monkeypatch):
     degree = collections.Counter(x for e in edges for x in e)
     weak = {e for e in edges if max(degree[x] for x in e) > queries_keep.HUB}
     split = union_find([e for e in edges if e not in weak] + [(x, x) for e in edges for x in e])
-    assert weak and {tuple(r) for r in queries_keep.causal_hub_links(spark, str(tmp_path)).collect()} == weak
-    assert {r.node: r.component for r in queries_keep.causal_hub_components(spark, str(tmp_path)).collect()} == split
+    assert weak and {tuple(r) for r in queries_keep.hub_links(spark, str(tmp_path)).collect()} == weak
+    assert {r.node: r.component for r in queries_keep.hub_components(spark, str(tmp_path)).collect()} == split

@@ -47,3 +47,12 @@ def tagged(events: DataFrame) -> DataFrame:
         "t1059": F.expr("op = 'exec' and k % 3 = 0"), "t1083": F.expr("op = 'read' and k % 2 = 0"),
         "t1490": F.expr("op = 'exec' and k % 5 = 0"), "t1486": F.expr("op = 'write' and value > 60"),
     })
+
+
+def op_of_index(index):
+    """The operation of a call index; null for one that has none, whose event is dropped."""
+    out = F.lit(None).cast("string")
+    for name, (_, at, _, _) in OPS.items():
+        if at is not None:
+            out = F.when(index == at, name).otherwise(out)
+    return out

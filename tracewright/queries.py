@@ -157,33 +157,32 @@ def provenance_edges(spark, sf_dir):
     return events(spark, sf_dir).groupBy("actor", "object", "op").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n"))
 
 
-def storyline_components(spark, sf_dir):
-    e = events(spark, sf_dir).where("op = 'write' and k < 3").select(F.col("actor").alias("a"), (F.lit(1_000_000) + F.pmod("k", F.lit(3)) + F.floor(F.col("actor") / 10) * 3).alias("b"))
-    return connected_components(e, "a", "b").select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))
-
-
-def storyline_size_topk(spark, sf_dir):
-    return storyline_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(10)
-
-
 def causal_links(spark, sf_dir, target: str = "object") -> DataFrame:
     """An edge for every causal event, from its actor to what it touched: its object, or ``k``, which actors share."""
     e = events(spark, sf_dir).where(F.col("op").isin(*CAUSAL))
     return e.select(F.concat(F.lit("proc:"), "actor").alias("src"), F.concat(F.lit("file:"), target).alias("dst"))
 
 
-def causal_components(spark, sf_dir):
+def storyline_components(spark, sf_dir):
     """Storylines over all causal events and their own objects."""
     return connected_components(causal_links(spark, sf_dir))
 
 
+def storyline_size_topk(spark, sf_dir):
+    return _largest(storyline_components(spark, sf_dir))
+
+
+def _largest(components: DataFrame) -> DataFrame:
+    return components.groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(10)
+
+
 def shared_components(spark, sf_dir):
     """Storylines over all causal events where actors meet in a target: these may be as large as the input."""
     return connected_components(causal_links(spark, sf_dir, "k"))
 
 
 def shared_size_topk(spark, sf_dir):
-    return shared_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(10)
+    return _largest(shared_components(spark, sf_dir))
 
 
 def referenced_ttps(spark, sf_dir):
@@ -253,7 +252,7 @@ def replay_verdicts(spark, sf_dir):
 
 ALL = (
     normalize_events, op_dimension_join, tag_events, rate_and_spread, linear_first_match, dag_first_match, seg_window_match, binding_match, disarm_gate, event_verdict, order_bonus,
-    kill_chain_score, provenance_edges, storyline_components, storyline_size_topk, causal_components, shared_components, shared_size_topk, referenced_ttps, tagger_prune, arm_commands, batch_deny, rarity_baseline, sequence_gaps,
+    kill_chain_score, provenance_edges, storyline_components, storyline_size_topk, shared_components, shared_size_topk, referenced_ttps, tagger_prune, arm_commands, batch_deny, rarity_baseline, sequence_gaps,
     linear_replay, dag_replay, dag_edges, shared_replay, bounded_replay, scored_replay, replay_verdicts,
 )
 
@@ -282,11 +281,21 @@ o AS (SELECT actor, CASE WHEN count(*) > 1 THEN round(sum(CASE WHEN bit > was TH
   SELECT actor, bit, lag(bit) OVER (PARTITION BY actor ORDER BY ts_ms, bit) AS was FROM s) GROUP BY actor)"""
 
 
-_COMPONENTS = _E + """,
-l AS (SELECT actor AS a, 1000000 + k % 3 + (actor // 10) * 3 AS b FROM e WHERE op = 'write' AND k < 3),
+def components_sql(links: str) -> str:
+    """``cc(node, component)`` over ``links``, a query of ``a, b``: least labels spread along edges until none falls."""
+    return _E + f""",
+l AS ({links}),
 z AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r(a, b) AS (SELECT a, b FROM z UNION SELECT r.a, z.b FROM r JOIN z ON r.b = z.a),
-c AS (SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a)"""
+cc(node, component) USING KEY (node) AS (
+  SELECT a, least(a, min(b)) FROM z GROUP BY a
+  UNION
+  SELECT z.a, min(cc.component) FROM cc JOIN z ON z.b = cc.node JOIN recurring.cc AS old ON old.node = z.a GROUP BY z.a, old.component HAVING min(cc.component) < old.component)"""
+
+
+def causal_sql(target: str) -> str:
+    return f"SELECT DISTINCT 'proc:' || actor AS a, 'file:' || {target} AS b FROM e WHERE op IN ('exec','inject','create','dup','write') AND actor IS NOT NULL AND {target} IS NOT NULL"
+
+
 _DENY = f"coalesce(seq > c3 AND op IN {GATED}, false)"
 
 
@@ -329,8 +338,10 @@ FROM e LEFT JOIN wr USING (seq) WINDOW h AS (PARTITION BY e.actor ORDER BY e.ts_
         "kill_chain_score": x + """actor, count(*) AS stages, round(2 * count(*) + 0.3 * sum(sev) + max(order_bonus) + 2 * sum(rar), 6)::DOUBLE AS score FROM (
   SELECT actor, CASE bit WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 7.0 ELSE 9.0 END AS sev, CASE bit WHEN 0 THEN 0.1 WHEN 1 THEN 0.1 WHEN 2 THEN 0.8 ELSE 0.9 END AS rar FROM s) JOIN o USING (actor) GROUP BY actor""",
         "provenance_edges": w + "actor, object, op, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS n FROM e GROUP BY ALL",
-        "storyline_components": _COMPONENTS + " SELECT node, component FROM c",
-        "storyline_size_topk": _COMPONENTS + " SELECT component, count(*) AS members FROM c GROUP BY component ORDER BY members DESC, component LIMIT 10",
+        "storyline_components": components_sql(causal_sql("object")) + " SELECT node, component FROM cc",
+        "storyline_size_topk": components_sql(causal_sql("object")) + " SELECT component, count(*) AS members FROM cc GROUP BY component ORDER BY members DESC, component LIMIT 10",
+        "shared_components": components_sql(causal_sql("k")) + " SELECT node, component FROM cc",
+        "shared_size_topk": components_sql(causal_sql("k")) + " SELECT component, count(*) AS members FROM cc GROUP BY component ORDER BY members DESC, component LIMIT 10",
         "referenced_ttps": "SELECT CAST(t AS INT) AS ttp FROM (VALUES (1059), (1083), (1486), (1490)) AS v(t)",
         "tagger_prune": w + "CAST(1059 AS INT) AS ttp, count(*) AS n FROM g WHERE t1059 UNION ALL SELECT 1083, count(*) FROM g WHERE t1083 UNION ALL SELECT 1490, count(*) FROM g WHERE t1490 UNION ALL SELECT 1486, count(*) FROM g WHERE t1486",
         "arm_commands": x + "actor, greatest(c1, c2) AS armed_at, 'write' AS op FROM m WHERE c1 IS NOT NULL AND c2 IS NOT NULL",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.engine import Engine
 from tracewright.operators import retention
-from tracewright.queries import _E, GATED, META, _chain, _commits, _core_events, _per_actor, _steps, arm_commands, causal_links, events, kill_chain_score
+from tracewright.queries import _E, GATED, META, _chain, _commits, _core_events, _per_actor, _steps, arm_commands, causal_links, causal_sql, components_sql, events, kill_chain_score
 
 LABELLED = """
 pattern encrypt_any_order
@@ -29,7 +29,7 @@ end
 HOUR = 3_600_000
 ALERT = 12.0
 #: Targets that more actors than this touch, and actors that touch more targets, are hubs.
-HUB = 500
+HUB = 50
 
 
 def labelled_denies(spark, sf_dir):
@@ -66,26 +66,12 @@ def node_budget(spark, sf_dir):
     return retention.within_budget(nodes, "root", "last_ms", 50).select("identity", "evicted")
 
 
-def _hub_edges(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).where("op = 'write' and k < 12").select(F.col("actor").alias("src"), F.expr("1000000 + k + (actor div 100) * 12").alias("dst"))
-
-
 def hub_components(spark, sf_dir):
-    components, _ = retention.hub_split(_hub_edges(spark, sf_dir), 3)
-    return components.selectExpr("cast(node as long) as node", "cast(component as long) as component")
-
-
-def hub_links(spark, sf_dir):
-    _, weak = retention.hub_split(_hub_edges(spark, sf_dir), 3)
-    return weak.selectExpr("cast(src as long) as src", "cast(dst as long) as dst")
-
-
-def causal_hub_components(spark, sf_dir):
     """The hub split of all causal events, over targets that actors share."""
     return retention.hub_split(causal_links(spark, sf_dir, "k"), HUB)[0]
 
 
-def causal_hub_links(spark, sf_dir):
+def hub_links(spark, sf_dir):
     return retention.hub_split(causal_links(spark, sf_dir, "k"), HUB)[1]
 
 
@@ -111,7 +97,7 @@ def live_leases(spark, sf_dir):
     return retention.live_leases(d, now, 5).select("host", "identity", "until", "refused")
 
 
-ALL = (labelled_denies, labelled_bindings, storyline_tiers, step_sketches, working_set, node_budget, hub_components, hub_links, causal_hub_components, causal_hub_links, ship_order, leased_reads, live_leases)
+ALL = (labelled_denies, labelled_bindings, storyline_tiers, step_sketches, working_set, node_budget, hub_components, hub_links, ship_order, leased_reads, live_leases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -120,12 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     w, x = _E + " SELECT ", _chain(False)
-    hubs = _E + """,
-p AS (SELECT DISTINCT actor AS src, 1000000 + k + (actor // 100) * 12 AS dst FROM e WHERE op = 'write' AND k < 12),
-z AS (SELECT src AS a, dst AS b FROM p UNION SELECT dst, src FROM p),
-h AS (SELECT a FROM z GROUP BY a HAVING count(DISTINCT b) > 3),
-y AS (SELECT a, b FROM z WHERE a NOT IN (FROM h) AND b NOT IN (FROM h)),
-r(a, b) AS (SELECT a, a FROM z UNION SELECT r.a, y.b FROM r JOIN y ON r.b = y.a)"""
+    split = causal_sql("k").replace("SELECT DISTINCT", "SELECT", 1)
+    hubs = f"p AS (SELECT DISTINCT a AS src, b AS dst FROM ({split})), n AS (SELECT src AS x, dst AS y FROM p UNION SELECT dst, src FROM p), h AS (SELECT x FROM n GROUP BY x HAVING count(*) > {HUB})"
+    calm = components_sql("SELECT src AS a, dst AS b FROM p WHERE src NOT IN (FROM h) AND dst NOT IN (FROM h) UNION ALL SELECT x, x FROM n").replace(",\nl AS", f",\n{hubs},\nl AS", 1)
     leases = f"d AS (SELECT seq, ts_ms, object, actor % 8 AS host, CASE WHEN value < 20 THEN 0 ELSE {200 * HOUR} END AS ttl FROM e WHERE op = 'open')"
     return {
         "labelled_denies": x + f" SELECT seq, CASE WHEN seq = c3 THEN 'disarm' ELSE 'block' END AS verdict FROM e JOIN m USING (actor) WHERE seq = c3 OR seq > c3 AND op IN {GATED}",
@@ -140,8 +123,8 @@ v AS (SELECT identity, max(ts_ms) AS last_touch FROM (SELECT 'p' || actor AS ide
 q AS (SELECT 'p' || actor AS identity, CAST(1 AS BIGINT) AS refcount FROM m WHERE c3 IS NULL)
 SELECT identity, last_touch, coalesce(refcount, 0) AS refcount FROM v LEFT JOIN q USING (identity) WHERE refcount > 0 OR last_touch >= (SELECT max(ts_ms) FROM e) - {24 * HOUR}""",
         "node_budget": w + "identity, row_number() OVER (PARTITION BY root ORDER BY last_ms DESC, identity DESC) > 50 AS evicted FROM (SELECT actor % 10 AS root, object AS identity, max(ts_ms) AS last_ms FROM e GROUP BY ALL)",
-        "hub_components": hubs + " SELECT a AS node, min(b) AS component FROM r GROUP BY a",
-        "hub_links": hubs + " SELECT src, dst FROM p WHERE src IN (FROM h) OR dst IN (FROM h)",
+        "hub_components": calm + " SELECT node, component FROM cc",
+        "hub_links": _E + f", {hubs} SELECT src, dst FROM p WHERE src IN (FROM h) OR dst IN (FROM h)",
         "ship_order": w + """seq, row_number() OVER (PARTITION BY actor % 8 ORDER BY seq) AS number, place, place > 700 AND tier < 2 AS dropped FROM (
   SELECT seq, actor, k % 4 AS tier, row_number() OVER (PARTITION BY seq // 1000 ORDER BY k % 4 DESC, seq) AS place FROM e)""",
         "leased_reads": _E + f", {leases}" + """ SELECT e.seq, coalesce(arg_max(d.ts_ms + d.ttl, d.seq) > any_value(e.ts_ms), false) AS denied
