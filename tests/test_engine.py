@@ -1,6 +1,8 @@
 """Engines against brute force where storylines merge, edge logs, chains, own conditions, rule files, strict lines."""
 
 import random
+import socket
+import threading
 
 import pandas as pd
 import pytest
@@ -15,7 +17,8 @@ from tracewright.operators.replay import CoreEngine, ScoredEngine, edge_log, rep
 from tracewright.plans import rules as R
 from tracewright.plans.rules import RuleError, compile_rules, compile_scored
 from tracewright.queries import DAG, LINEAR, SCORED
-from tracewright.sinks import reports
+from tracewright.sinks import reports, ship
+from tracewright.sources import frames
 from tracewright.sources.evt import read_evt
 from tracewright.streaming.flow import answered
 
@@ -230,5 +233,76 @@ def test_shared_replay_against_brute_force(spark):
     assert [(engine.on_event(*r), engine.edge) for r in few] == brute(compile_rules(DAG, True), True, few)
 
 
+def test_expiry_bounds_the_state():
+    """Within the time kept nothing changes; what is older is forgotten."""
+    rules, r = compile_rules(DAG, True), random.Random(3)
+    full, short = CoreEngine(rules, True), CoreEngine(rules, True)
+    sizes = []
+    for i in range(4000):
+        row = (r.choice(["exec", "read", "write"]), f"p{i // 40}", f"f{i // 20}", r.sample([1059, 1083, 1490, 1486], r.randrange(3)))
+        assert full.on_event(*row, ts=i) == short.on_event(*row, ts=i), i
+        if i % 50 == 49:
+            short.expire(i - 200)
+            sizes.append(len(short.lines.up))
+    assert max(sizes) < 60 < len(full.lines.up) and len(short.lines.value) < 20
+    # a start that is too old no longer counts
+    engine = CoreEngine(compile_rules("pattern a\nstep ops=exec ttps=1\nstep ops=write ttps=2 action=disarm(write)\nend", False), False)
+    engine.on_event("exec", 1, 2, [1], ts=0)
+    assert engine.expire(100) == 2 and engine.on_event("write", 1, 3, [2], ts=101) == "ignore"
+    engine.on_event("exec", 1, 2, [1], ts=102)
+    assert engine.expire(102) == 0 and engine.on_event("write", 1, 3, [2], ts=103) == "disarm"
+    engine.expire(10**6)
+    assert engine.on_event("write", 1, 9, [], ts=10**6) == "block"
+
+
+def test_stream_with_expiry(spark, tmp_path):
+    from tracewright.streaming.replay import replay_stream
+
+    rules = compile_rules("pattern a\nstep ops=exec ttps=1\nstep ops=write ttps=2 action=disarm(write)\nend", False)
+    schema = "host string, seq long, ts long, op string, actor string, object string, ttps array<int>"
+    parts = [[("h", 0, 0, "exec", "a", "b", [1]), ("h", 1, 10, "exec", "c", "d", [1])], [("h", 2, 5000, "read", "c", "d", [])], [("h", 3, 5001, "write", "a", "e", [2])]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    q = replay_stream(source, rules, False, keep=1000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert [r.verdict for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()] == ["inspect", "inspect", "ignore", "ignore"]
+
+
+def test_captures_are_read_in_runs(spark, tmp_path):
+    for k in range(2):
+        made = [frames.encode_frame([frames.encode_record(1, 10_000 * (k * 1000 + i), i, 0, file_name=f"f{i}")] * (i % 3 + 1)) for i in range(300)]
+        (tmp_path / f"c{k}.bin").write_bytes(b"".join(made))
+    whole = frames.decode(spark.read.format("binaryFile").load(f"{tmp_path}/*.bin").orderBy("path").select("content")).collect()
+    cut = frames.read_frames(spark, f"{tmp_path}/*.bin", chunk=2000)
+    assert cut.rdd.getNumPartitions() > 3 and cut.collect() == whole
+    (tmp_path / "c1.bin").write_bytes(b"".join(made)[:-1])
+    with pytest.raises(Exception, match="within a frame"):
+        frames.read_frames(spark, f"{tmp_path}/*.bin").count()
+
+
+def test_a_bounded_queue_drops_and_counts(spark):
+    total = spark.sparkContext.accumulator(0)
+    with socket.create_server(("127.0.0.1", 0)) as free:
+        port = free.getsockname()[1]
+    rows = spark.range(50).selectExpr("cast('x' as binary) as message").coalesce(1)
+    rows.foreachPartition(ship._send_bounded("127.0.0.1", port, 0.01, 2, 8, total))
+    assert total.value == 50
+    server, got = socket.create_server(("127.0.0.1", 0)), []
+
+    def serve():
+        link, _ = server.accept()
+        with link:
+            while data := link.recv(100):
+                got.append(data)
+
+    thread = threading.Thread(target=serve, daemon=True)
+    thread.start()
+    total = spark.sparkContext.accumulator(0)
+    rows.foreachPartition(ship._send_bounded("127.0.0.1", server.getsockname()[1], 0.01, 5, 8, total))
+    thread.join(20)
+    assert total.value == 0 and b"".join(got) == b"x" * 50
+
+
 def queries_dir():
     return "/root/testdata/sf0.001"

@@ -54,17 +54,28 @@ class Forest:
         self.value[a] = self.join(self.value[a], self.value.pop(b))
         return a
 
+    def forget(self, lines: set) -> int:
+        """Leave out whole sets by their roots; how many keys went."""
+        gone = {k for k in list(self.up) if self.root(k) in lines}
+        self.up = {k: r for k, r in self.up.items() if k not in gone}
+        for r in lines:
+            self.size.pop(r, None)
+            self.value.pop(r, None)
+        return len(gone)
+
 
 class CoreEngine:
     """Linear or partial-order rules over storylines; a verdict for each event.
 
-    A storyline keeps distinct ``(pattern, progress)`` pairs: equal automata behave alike, so their number
-    stays below the number of states whatever the stream's length.
+    A storyline keeps distinct ``(pattern, progress)`` pairs with the time each last moved: equal automata behave
+    alike, so their number stays below the number of states whatever the stream's length. ``expire`` forgets what
+    has been still for long, which an endless stream needs.
     """
 
     def __init__(self, patterns: list[Pattern], dag: bool):
         self.patterns, self.dag = patterns, dag
-        self.lines = Forest(set, lambda a, b: a | b)
+        self.lines = Forest(dict, lambda a, b: {k: max(x[k] for x in (a, b) if k in x) for k in a | b})
+        self.touched: dict = {}
         self.disarmed: dict = {}
         self.edges = 0
         #: Whether the last event became an edge: it had a known operation and wasn't stopped.
@@ -74,7 +85,23 @@ class CoreEngine:
         root = self.lines.root(key)
         return {k for k in list(self.lines.up) if self.lines.root(k) == root}
 
-    def on_event(self, op: str, actor, object_, tags) -> str:
+    def expire(self, before: int) -> int:
+        """Drop automata that haven't moved since a time, then storylines without any that no event has touched since.
+
+        Returns how many identities are forgotten; what they are disarmed for stays.
+        """
+        for line, autos in self.lines.value.items():
+            self.lines.value[line] = {k: t for k, t in autos.items() if t >= before}
+        latest: dict = {}
+        for key, t in self.touched.items():
+            root = self.lines.root(key)
+            latest[root] = max(latest.get(root, t), t)
+        still = {r for r, t in latest.items() if t < before and not self.lines.value[r]}
+        gone = self.lines.forget(still)
+        self.touched = {r: t for r, t in latest.items() if r not in still}
+        return gone
+
+    def on_event(self, op: str, actor, object_, tags, ts: int = 0) -> str:
         bit, tags = OP_BITS.get(op, 0), frozenset(tags)
         self.edge = False
         if not bit:
@@ -84,7 +111,8 @@ class CoreEngine:
         self.edges += 1
         self.edge = True
         line = self.lines.unite(actor, object_)
-        fired = self._dag(line, bit, tags) if self.dag else self._linear(line, bit, tags)
+        self.touched[line] = max(self.touched.get(line, ts), ts)
+        fired = self._dag(line, bit, tags, ts) if self.dag else self._linear(line, bit, tags, ts)
         verdict = "ignore"
         for step in fired:
             verdict = max(verdict, step.action, key=_RANK.__getitem__)
@@ -92,29 +120,29 @@ class CoreEngine:
                 self.disarmed[actor] = self.disarmed.get(actor, 0) | step.disarm
         return verdict
 
-    def _linear(self, line, bit, tags):
-        fired, after = [], set()
-        seeds = {(i, 1) for i, p in enumerate(self.patterns) if p.steps[0].matches(bit, tags)}
+    def _linear(self, line, bit, tags, ts):
+        fired, after = [], {}
+        seeds = {(i, 1): ts for i, p in enumerate(self.patterns) if p.steps[0].matches(bit, tags)}
         fired += [self.patterns[i].steps[0] for i, _ in seeds]
-        for i, stage in self.lines.value[line] | seeds:
+        for (i, stage), moved in (self.lines.value[line] | seeds).items():
             steps = self.patterns[i].steps
             if stage < len(steps) and steps[stage].matches(bit, tags):
                 fired.append(steps[stage])
-                stage += 1
-            after.add((i, stage))
+                stage, moved = stage + 1, ts
+            after[i, stage] = max(after.get((i, stage), moved), moved)
         self.lines.value[line] = after
         return fired
 
-    def _dag(self, line, bit, tags):
-        fired, after = [], set()
+    def _dag(self, line, bit, tags, ts):
+        fired, after = [], {}
         hits = {i: found for i, p in enumerate(self.patterns) if (found := [s for s in p.steps if s.matches(bit, tags)])}
-        seeds = {(i, 0) for i, found in hits.items() if any(not s.prereq for s in found)}
-        for i, done in self.lines.value[line] | seeds:
+        seeds = {(i, 0): ts for i, found in hits.items() if any(not s.prereq for s in found)}
+        for (i, done), moved in (self.lines.value[line] | seeds).items():
             for s in hits.get(i, ()):
                 if not done >> s.bit & 1 and s.prereq & done == s.prereq:
-                    done |= 1 << s.bit
+                    done, moved = done | 1 << s.bit, ts
                     fired.append(s)
-            after.add((i, done))
+            after[i, done] = max(after.get((i, done), moved), moved)
         self.lines.value[line] = after
         return fired
 
@@ -376,7 +404,7 @@ def replay_core(events: DataFrame, patterns: list[Pattern], dag: bool) -> DataFr
     rows = routed(events, False)
     begins = [s for p in patterns for s in (p.steps if dag else p.steps[:1]) if not s.prereq]
     live = small(rows.where(step_match(begins)).select("component").distinct())
-    step = lambda engine, ts, op, actor, object_, ttps: (engine.on_event(op, actor, object_, ttps or ()), engine.edge)
+    step = lambda engine, ts, op, actor, object_, ttps: (engine.on_event(op, actor, object_, ttps or (), ts), engine.edge)
     told = walked(rows.join(live, "component", "left_semi"), "component", ["op", "actor", "object", "ttps"], lambda: CoreEngine(patterns, dag), step, "seq long, verdict string, edge boolean")
     quiet = rows.join(live, "component", "left_anti").select("seq", F.lit("ignore").alias("verdict"), F.coalesce(op_bit(F.col("op")) != 0, F.lit(False)).alias("edge"))
     return told.unionByName(quiet)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import socket
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -91,11 +92,53 @@ def _send(host: str, port: int, pause: float, tries: int) -> Callable:
     return run
 
 
-def ship_tcp(events: DataFrame, host: str, port: int, pause: float = 0.5, tries: int = 20):
+def _send_bounded(host: str, port: int, pause: float, tries: int, queue: int, dropped) -> Callable:
+    """As ``_send``, but what a queue of so many messages can't hold while the backend is away is dropped and counted."""
+
+    def run(rows: Iterator) -> None:
+        waiting: deque = deque()
+        link, next_try = None, 0.0
+
+        def flush() -> None:
+            nonlocal link, next_try
+            try:
+                if link is None and time.monotonic() >= next_try:
+                    next_try = time.monotonic() + pause
+                    link = socket.create_connection((host, port), timeout=10)
+                while link and waiting:
+                    link.sendall(waiting[0])
+                    waiting.popleft()
+            except OSError:
+                link = None
+
+        for row in rows:
+            if len(waiting) < queue:
+                waiting.append(bytes(row.message))
+            else:
+                dropped.add(1)
+            flush()
+        for _ in range(tries):
+            if not waiting:
+                break
+            time.sleep(pause)
+            flush()
+        if waiting:
+            dropped.add(len(waiting))
+        if link:
+            link.close()
+
+    return run
+
+
+def ship_tcp(events: DataFrame, host: str, port: int, pause: float = 0.5, tries: int = 20, queue: int = 0, dropped=None):
     """A stream's events over TCP, a connection a task; reconnects after ``pause`` seconds.
 
     Where the backend stays away, the batch fails and is sent anew: nothing is dropped, a message may come twice,
-    so the backend keeps the first of each ``(host, seq)``.
+    so the backend keeps the first of each ``(host, seq)``. With a ``queue`` of so many messages a task instead drops
+    what doesn't fit while the backend is away; ``dropped``, an accumulator, counts them.
     """
+    if queue:
+        bounded = _send_bounded(host, port, pause, tries, queue, dropped or events.sparkSession.sparkContext.accumulator(0))
+        return events.writeStream.foreachBatch(lambda batch, _: to_messages(batch).foreachPartition(bounded))
     run = _send(host, port, pause, tries)
     return events.writeStream.foreachBatch(lambda batch, _: to_messages(batch).foreachPartition(run))

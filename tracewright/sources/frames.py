@@ -11,11 +11,13 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAME, RECORD = struct.Struct("<IHH"), struct.Struct("<IB3xqIIq")
 VERSION, REPLY = 2, 0x8000
+#: Bytes of a capture file that a task decodes at once.
+CHUNK = 8 << 20
 #: Record types and their bodies: numbers, then strings.
 TYPES = {
     1: ("open", "", ("file_name",)), 2: ("write", "", ("file_name",)), 100: ("create", "Iq", ("image", "cmdline")), 101: ("exit", "", ()),
@@ -83,9 +85,7 @@ def split_stream(data: bytes) -> Iterator[bytes]:
     """Frames that follow each other; an end within a frame is an error."""
     at = 0
     while at < len(data):
-        total = struct.unpack_from("<I", data, at)[0] if at + 4 <= len(data) else 0
-        if total < FRAME.size or at + total > len(data):
-            raise FrameError("the stream ends within a frame")
+        total = _total(data[at : at + 4], len(data) - at)
         yield data[at : at + total]
         at += total
 
@@ -103,6 +103,55 @@ def decode(frames: DataFrame, content: str = "content") -> DataFrame:
     return frames.select(content).mapInArrow(run, DDL)
 
 
+def _total(head: bytes, left: int) -> int:
+    """A frame's size by its first bytes."""
+    total = struct.unpack("<I", head)[0] if len(head) == 4 else 0
+    if not FRAME.size <= total <= left:
+        raise FrameError("the stream ends within a frame")
+    return total
+
+
+def read_frames(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """Records of capture files of any size, as ``decode``: a first pass hops from frame to frame by their sizes and
+    cuts files into runs of whole frames of about ``chunk`` bytes, which tasks then read and decode on their own.
+
+    Paths are opened by executors through ``pyarrow.fs``. An end within a frame is an error.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                begins, at = [0], 0
+                with store.open_input_file(name) as f:
+                    while at < length:
+                        f.seek(at)
+                        at += _total(f.read(4), length - at)
+                        if at - begins[-1] >= chunk and at < length:
+                            begins.append(at)
+                ends = [*begins[1:], length]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(begins)), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], names=["uri", "begin", "end"])
+
+    def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    f.seek(begin)
+                    yield pa.RecordBatch.from_arrays([pa.array([f.read(end - begin)], pa.binary())], names=["content"])
+
+    # only names and sizes are read of the listing; a "file:/x" of Spark's is "file:///x" elsewhere
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/(?=[^/])", "file:///").alias("uri"), "length")
+    runs = files.repartition("uri").mapInArrow(cut, "uri string, begin long, end long")
+    parts = max(1, int(files.agg(F.sum("length")).first()[0] or 0) // chunk)
+    # by range, so that rows keep the order of the files
+    return decode(runs.repartitionByRange(parts, "uri", "begin").sortWithinPartitions("uri", "begin").mapInArrow(content, "content binary"))
+
+
 def normalise(records: DataFrame) -> DataFrame:
     """Events of sensor records: ``ts, op, actor, object, attrs, req_id, reply``; records that only tell state are dropped."""
     ms = lambda ticks: F.expr(f"greatest({ticks}, 0) div 10000")

@@ -60,7 +60,7 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
 
 KINDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evt": read_evt,
-    "frames": lambda spark, path: _numbered(frames.normalise(frames.decode(_binary(spark, path)))),
+    "frames": lambda spark, path: _numbered(frames.normalise(frames.read_frames(spark, path))),
     "rings": lambda spark, path: _numbered(frames.normalise(frames.decode(read_rings(spark, path).orderBy("path", "frame").select("content")))),
     "messages": lambda spark, path: from_messages(_binary(spark, path)),
     "parquet": lambda spark, path: spark.read.parquet(path),

@@ -2,7 +2,9 @@
 
 Keys are hosts, since storylines merge as events arrive. Within a batch a key's events are sorted by
 ``(ts, seq)``; the stream's source must not deliver an event after later ones of another batch. A host without
-events for ``idle`` seconds loses its state, unless ``idle`` is 0.
+events for ``idle`` seconds loses its state, unless ``idle`` is 0. The core engines also forget, after each batch,
+automata that haven't moved for ``keep`` milliseconds of event time and storylines that none is left in and nothing has
+touched since, unless ``keep`` is 0: a host's state is then bounded by what happens within that time.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _load(engine, blob: bytes) -> None:
         vars(engine.lines).update(lines)
 
 
-def _stateful(events: DataFrame, make: Callable, step: Callable, out: str, key: str, idle: int) -> DataFrame:
+def _stateful(events: DataFrame, make: Callable, step: Callable, out: str, key: str, idle: int, keep: int = 0) -> DataFrame:
     names = [c.split()[0] for c in out.split(", ")]
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,6 +52,8 @@ def _stateful(events: DataFrame, make: Callable, step: Callable, out: str, key:
             _load(engine, state.get[0])
         rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
         made = pd.DataFrame([step(engine, row) for row in rows.itertuples(index=False)], columns=names)
+        if keep:
+            engine.expire(int(rows.ts.iloc[-1]) - keep)
         state.update((_save(engine),))
         if idle:
             state.setTimeoutDuration(idle * 1000)
@@ -66,9 +70,13 @@ def _verdict(engine, row) -> tuple:
     return (engine.on_event(row.op, row.actor, row.object, row.ttps),)
 
 
-def replay_stream(events: DataFrame, patterns: list[Pattern], dag: bool, key: str = "host", idle: int = 0) -> DataFrame:
+def _timed(engine: CoreEngine, row) -> tuple:
+    return (engine.on_event(row.op, row.actor, row.object, row.ttps, int(row.ts)),)
+
+
+def replay_stream(events: DataFrame, patterns: list[Pattern], dag: bool, key: str = "host", idle: int = 0, keep: int = 0) -> DataFrame:
     """``host, seq, verdict`` of a streaming ``events(host, seq, ts, op, actor, object, ttps)``."""
-    return _stateful(events, lambda: CoreEngine(patterns, dag), _verdict, "verdict string", key, idle)
+    return _stateful(events, lambda: CoreEngine(patterns, dag), _timed, "verdict string", key, idle, keep)
 
 
 def replay_bounded_stream(events: DataFrame, patterns: list[Pattern], key: str = "host", idle: int = 0, **ceilings: int) -> DataFrame:
