@@ -205,6 +205,15 @@ def test_intermediates_go_with_their_scope(spark):
     assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def test_only_small_tables_are_broadcast(spark, monkeypatch):
+    hinted = lambda df: "ResolvedHint (strategy=broadcast)" in storage.small(df)._jdf.queryExecution().analyzed().toString()
+    rows = spark.range(100).selectExpr("id", "repeat('x', 1000) as text", "cast(null as binary) as raw")
+    assert hinted(rows) and hinted(rows.limit(0))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 50_000)
+    assert not hinted(rows) and hinted(rows.select("id"))
+    assert storage.small(spark.range(5), 10**6).schema == spark.range(5).schema
+
+
 def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
     class Session:
         class sparkContext:

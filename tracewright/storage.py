@@ -15,8 +15,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables up to this many rows of a few fixed-width columns (under 64 MB in memory) may be broadcast.
+#: Tables up to so many rows and bytes may be broadcast.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 _OWN: dict[str, str] = {}
 _SCOPES: list[list] = []
 
@@ -67,6 +68,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the table is counted and found small; else Spark picks a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    """Hint a broadcast only if the table is counted and found small, in rows and in bytes; else Spark picks a shuffle join.
+
+    ``rows`` may be given where they are known and all columns are of fixed width.
+    """
+    if rows is None:
+        long = [f.name for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+        rows, *sizes = df.agg(F.count("*"), *(F.sum(F.octet_length(F.col(c))) for c in long)).first()
+        if sum(x or 0 for x in sizes) + 16 * len(df.columns) * rows > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df) if rows <= most else df
