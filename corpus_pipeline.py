@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and reread as the next one's
 ``docs``. All but the last return the columns of ``documents``.
+
+Of odd input every stage does as its operator: null texts are empty (and go or stay by their quality score), null
+ids are rows like others that no near copy replaces, repeated rows are exact copies of which one stays, very long
+texts are read whole, an empty table stays empty, and other columns pass through under their names.
 """
 
 from __future__ import annotations
