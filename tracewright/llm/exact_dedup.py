@@ -4,11 +4,13 @@ Texts are equal when identical after deleting blanks and the characters 9 to 13.
 own records (so a text with very many copies is shuffled once a task), the survivors are shuffled by a hash
 of the content, and each task merges what it gets. Merging reads records into an open-addressing table that
 compares complete contents; when the table outgrows its budget, records go to spill files by further hash
-bits and each file is merged in the same way, until it fits. Spill files live in a task's temporary folder
-and go with it; a lost task starts again from its input.
+bits and each file is merged in the same way, until it fits. Spill files are a task's own, in the folders that Spark
+gives its workers for spilling, and go with it; a lost task starts again from its input.
 
 Of equal texts the row with the most code points in its text stays, then the smallest doc_id (nulls last).
-Null texts count as empty, all empty and blank texts are equal. Repeated rows are copies like any others.
+Null texts count as empty, all empty and blank texts are equal. Repeated rows are copies like any others. An empty
+table gives no rows. A very long text is compared whole. Other columns are kept by ``deduplicate`` and else ignored,
+whatever their names.
 """
 
 from __future__ import annotations
