@@ -22,7 +22,7 @@ def tuned(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one smaller than a single split, which one task might read, is dealt out by the megabyte."""
     found = tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return found
     return found.repartition(max(1, min(spark.sparkContext.defaultParallelism, size >> 20)))
