@@ -8,6 +8,7 @@ from tracewright.operators.replay import BoundedEngine, CoreEngine, ScoredEngine
 from tracewright.plans.rules import compile_rules, compile_scored
 from tracewright.queries import DAG, LINEAR
 
+# Rules whose scores and verdicts are known, and the events they are known for, here and in the tests below.
 RULES = """
 ttp T1059 tactic=execution severity=3 rarity=0.10
 ttp T1083 tactic=discovery severity=2 rarity=0.10
@@ -57,6 +58,7 @@ def test_scored_dropper(image, last):
     assert got == [("Allow", "None", 0), last]
 
 
+# The events of the golden replays.
 F1 = [("exec", "P1", "P200", [1059]), ("read", "P200", "F1", [1083]), ("exec", "P50", "P80", []), ("exec", "P200", "P300", [1490]), ("read", "P80", "F2", []), ("write", "P200", "F3", [1486]), ("write", "P200", "F4", [1486]), ("exec", "P50", "P90", [])]
 F2 = [F1[0], F1[2], F1[3], F1[4], F1[1], F1[5], F1[6], F1[7]]
 

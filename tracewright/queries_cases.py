@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.kernel import ENTROPY_LEAST, file_keys, high_entropy, key_of
 from tracewright.functions.tagging import tag_columns
 from tracewright.model import KINDS, op_of_index
-from tracewright.operators.replay import replay_bounded, replay_scored
+from tracewright.operators.replay import replay_bounded, replay_scored, routed
 from tracewright.plans import rules as R
-from tracewright.queries import _E, DAG, LINEAR, _core_events, _verdicts, events
+from tracewright.queries import _E, DAG, LINEAR, TAGS, _core_events, _ttps, _verdicts, events, tagged
 from tracewright.sinks import reports
 from tracewright.sinks.ship import from_messages, to_messages
 from tracewright.sources.evt import parse
@@ -131,7 +131,15 @@ def outcome_text(spark, sf_dir):
     return reports.outcome_lines(rows, said)
 
 
-ALL = (line_events, tagger_conditions, message_round_trip, rule_bytes, indexed_ops, file_key_columns, entropy_buffers, bounded_wide, armed_storylines, dropped_programs, outcome_text)
+def tag_history(spark, sf_dir):
+    """A storyline's tags in the order they came; nothing reads them but people."""
+    e = tagged(events(spark, sf_dir)).select("seq", "ts_ms", F.concat(F.lit("proc:"), "actor").alias("actor"), F.concat(F.lit("file:"), "object").alias("object"), "op", _ttps().alias("ttps"))
+    rows = routed(e, False).select("component", "seq", "ts_ms", F.posexplode("ttps").alias("nth", "ttp"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("ts_ms", "seq", "nth"))
+    return rows.select("component", place.cast("long").alias("place"), "seq", F.col("ttp").cast("long").alias("ttp"))
+
+
+ALL = (tag_history, line_events, tagger_conditions, message_round_trip, rule_bytes, indexed_ops, file_key_columns, entropy_buffers, bounded_wide, armed_storylines, dropped_programs, outcome_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -147,6 +155,9 @@ def oracle_sql() -> dict[str, str]:
 p AS (SELECT actor, min(seq) FILTER (t1059) AS c0 FROM g GROUP BY actor),
 q AS (SELECT g.actor, c0, min(seq) FILTER (t1486 AND seq > c0) AS c1 FROM g JOIN p USING (actor) GROUP BY g.actor, c0)"""
     return {
+        "tag_history": _E + f""",
+h AS (SELECT seq, ts_ms, actor, least('proc:' || actor, min('file:' || object) OVER (PARTITION BY actor)) AS component, list_filter([{", ".join(f"CASE WHEN t{t} THEN {t} END" for t in TAGS)}], lambda x: x IS NOT NULL) AS ttps FROM g)
+SELECT component, row_number() OVER (PARTITION BY component ORDER BY ts_ms, seq, nth) AS place, seq, ttp::BIGINT AS ttp FROM (SELECT component, seq, ts_ms, unnest(ttps) AS ttp, generate_subscripts(ttps, 1) AS nth FROM h)""",
         "line_events": w + "op, 'proc:' || actor || '.7' AS actor, 'file:f' || k AS object, 'a b' || k AS image, k::VARCHAR AS n, 2::INT AS attrs, sum(ts_ms)::BIGINT AS ts, count(*) AS rows FROM e GROUP BY op, actor, k",
         "tagger_conditions": w + f"""seq, concat_ws(',', CASE WHEN op IN ('exec','write') AND k % 3 < 2 THEN 'T1' END, CASE WHEN k % 4 = 0 THEN 'T2' END, CASE WHEN op = 'read' AND k % 5 < 2 THEN 'T3' END,
   CASE WHEN k % 7 <> 0 AND k > 50 THEN 'T4' END, CASE WHEN op = 'write' THEN 'T5' END, CASE WHEN {cmd} NOT IN ('delete x', 'list') THEN 'T6' END, CASE WHEN op = 'open' THEN 'T6' END) AS tags FROM e""",
