@@ -6,10 +6,13 @@ is null, 2: ids take 4 bytes) and the ids as u16 or u32. ``mask`` rotates a chec
 a constant, so that data holding checksums isn't mistaken for a record. The index beside a shard has an
 ``(offset, tokens)`` pair of u64 for each record, so that records can be read singly in any order.
 
-Documents are range-partitioned and sorted by ``doc_id``; each task writes one shard under a temporary name
-and renames it, so a task that is run again replaces a shard by the same bytes. Shards go to the shared
-folder through ``pyarrow.fs``. Nulls sort first, and count as empty texts; repeated rows are written each
-time; an empty table gives no records; other columns are ignored.
+Documents are range-partitioned and sorted by ``doc_id``, equal ids by a hash of their text, so that one id's rows may
+fill many shards; each task writes one shard under a temporary name and renames it, so a task that is run again
+replaces a shard by the same bytes. Shards go to the shared folder through ``pyarrow.fs``, and each is read back
+by a task of its own. Texts are shuffled, not ids: measured on the check tables they are 1.1 times the (compressed)
+input, ids of two bytes 0.95 times, but ranges are found from a look at the rows before, which would encode twice
+or store all ids once more. Null ids sort first, null texts count as empty; repeated rows are written each time; a
+very long text is one record; an empty table gives no records; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,7 +97,11 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str |
             store.move(f"{root}/{shard}.{attempt}", f"{root}/{shard}.records")
             yield pa.RecordBatch.from_pydict({"shard": [shard], "records": [len(index) // 2], "tokens": [tokens]})
 
-    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    named = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    # equal texts of one id may go to either side of a bound: which is all the same
+    order = ["doc_id", "_hash", "_row"]
+    keyed = named.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return path, stored(ordered.mapInArrow(run, "shard string, records long, tokens long"), "manifest")
 
 
@@ -123,7 +130,8 @@ def read_records(path: str, manifest: DataFrame) -> DataFrame:
     # one row a shard: a running sum over as many rows as there were tasks
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("shard", before.alias("begin"))
-    return shards.repartition("shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number that isn't coalesced: the rows are few, but what they name isn't
+    return shards.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:

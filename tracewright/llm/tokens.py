@@ -26,10 +26,14 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PIECES = {False: re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"), True: re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+")}
 #: Words that the patterns above cut as the tokenizer does; a letter whose lower case is two characters is left out.
 _PLAIN = re.compile("[\n ]?[!-~À-ÖØ-öø-įı-ɏ]*")
+_ALPHA = re.compile(f" ?[{_LETTER.replace('ø-ɏ', 'ø-įı-ɏ')}]+")
+_TAIL = ".,!?;:*$&%#)"
 #: A byte-level vocabulary writes bytes as characters: printable ones as themselves, the others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
+_BLANK = chr(_BYTES[32])
+
 
 class Cache(dict):
     """Words to ids; a word that isn't here is noted in ``missing``."""
@@ -42,7 +46,11 @@ class Cache(dict):
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``blank``: whether a word's ids depend on the blank before it."""
+    """Ids as little-endian unsigned 32-bit bytes. ``blank``: whether a word's ids depend on the blank before it.
+
+    If so, the cache has words and pieces after a blank as they are, words after a line feed with it, its id too,
+    and pieces after neither behind a carriage return. Else it has them as they are.
+    """
 
     def __init__(self, path: str, blank: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.blank, self.pieces = self.tokenizer.model, blank, _PIECES[blank].findall
+        self.mark = self.whole("\n") if blank else b""
         self.new = Cache()
         self.old: dict[str, bytes] = {}
 
@@ -60,18 +69,26 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that the pattern has cut; what isn't cached is encoded by the model alone."""
-        ids = self.new.get(piece) or self.old.get(piece)
+        key = (piece[1:] or "\r ") if self.blank and piece[0] == " " else "\r" + piece if self.blank else piece
+        ids = self.new.get(key) or self.old.get(key)
         if ids is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))
+            shown = piece.replace(" ", _BLANK) if piece.isascii() and piece != "\n" else piece.encode().decode("latin-1").translate(_BYTES)
+            found = self.model.tokenize(shown)
             ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
             if len(piece) <= LONG_WORD:
-                self.new[piece] = ids
+                self.new[key] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            return self.whole(word)
-        return b"".join(map(self._piece, self.pieces(word if self.blank else word.lower())))
+        """Ids of a word by its key."""
+        text = word if not self.blank or word[0] == "\n" else " " + word
+        bare = text.rstrip(_TAIL)
+        if _ALPHA.fullmatch(bare):  # nearly every word; signs after letters are one piece
+            head = self._piece(bare if self.blank else bare.lower())
+            return head if len(bare) == len(text) else head + self._piece(text[len(bare) :])
+        if not _PLAIN.fullmatch(text):
+            return self.whole(text)
+        return b"".join(map(self._piece, self.pieces(text if self.blank else text.lower())))
 
     def _learn(self, words: set[str]) -> None:
         """Put words into the cache."""
@@ -87,10 +104,13 @@ class Encoder:
         for text in batch:
             words = text.split()
             if not words or _odd(text, words):
-                found.append([self.whole(text)] if text else [])
+                found.append([self.mark, self.whole(text)] if text else [])
                 continue
-            if self.blank:
-                words = _with_blanks(text)
+            if self.blank:  # the first one too, without the line feed in the end
+                k = 0
+                for line in text.split("\n"):
+                    words[k] = "\n" + words[k]
+                    k += line.count(" ") + 1
             ids = list(map(get, words))
             if None in ids:
                 waiting.append((len(found), words))
@@ -105,7 +125,8 @@ class Encoder:
             for w in missing:
                 if len(w) > LONG_WORD:
                     del self.new[w]
-        return list(map(b"".join, found))
+        out = map(b"".join, found)
+        return [x[len(self.mark) :] for x in out] if self.blank else list(out)
 
 
 def _odd(text: str, words: list[str]) -> bool:
@@ -113,11 +134,6 @@ def _odd(text: str, words: list[str]) -> bool:
     return len(" ".join(words)) != len(text) or len(words) != text.count(" ") + text.count("\n") + 1
 
 
-def _with_blanks(text: str) -> list[str]:
-    """Words, each with the blank or line feed before it: a form feed marks the cuts, as no such text has one."""
-    return text.replace(" ", "\f ").replace("\n", "\f\n").split("\f")
-
-
 def encoder(path: str, blank: bool) -> Encoder:
     """This worker's encoder; loaded once."""
     if (path, blank) not in _LOADED:
