@@ -29,7 +29,7 @@ end
 HOUR = 3_600_000
 ALERT = 12.0
 #: Targets that more actors than this touch, and actors that touch more targets, are hubs.
-HUB = 50
+HUB = 38
 
 
 def labelled_denies(spark, sf_dir):
