@@ -19,7 +19,9 @@ and links across components are found by an inverted index, so that no pairs are
 many documents is cut into parts that share its first document.
 
 Null texts are empty. Each row gets ``class_id``, the smallest doc_id reachable by links, and ``kept`` (it is
-the class id). Rows that repeat a doc_id belong to one document; a null id has class null and is kept.
+the class id). Rows that repeat a doc_id belong to one document; a null id has class null and is kept. An empty
+table gives no rows. A very long text is one bag, never cut. Other columns are kept by ``distinct_rows`` and else
+ignored, whatever their names.
 """
 
 from __future__ import annotations
