@@ -116,6 +116,11 @@ def armed_storylines(spark, sf_dir):
     return found.select("seq", "decision", "kind", F.round("score", 4).alias("score"), "reason", "log", "commits")
 
 
+def outcome_levels(spark, sf_dir):
+    """How many outcomes are of each level."""
+    return _scored(spark, sf_dir, ARMING).groupBy(reports.log_level().alias("level"), "decision").agg(F.count("*").alias("n"))
+
+
 def dropped_programs(spark, sf_dir):
     """A written program that is started: a gate at the root, and identities bound across steps."""
     found = _scored(spark, sf_dir, DROPPER).where("commits <> ''")
@@ -139,7 +144,7 @@ def tag_history(spark, sf_dir):
     return rows.select("component", place.cast("long").alias("place"), "seq", F.col("ttp").cast("long").alias("ttp"))
 
 
-ALL = (tag_history, line_events, tagger_conditions, message_round_trip, rule_bytes, indexed_ops, file_key_columns, entropy_buffers, bounded_wide, armed_storylines, dropped_programs, outcome_text)
+ALL = (tag_history, line_events, tagger_conditions, message_round_trip, rule_bytes, indexed_ops, file_key_columns, entropy_buffers, bounded_wide, armed_storylines, outcome_levels, dropped_programs, outcome_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -175,6 +180,9 @@ SELECT seq, CASE WHEN seq = c0 THEN 'Allow' ELSE 'Deny' END AS decision, CASE WH
   CASE WHEN seq = c0 THEN 'ts=' || ts_ms || ' ARM pattern=start_then_encrypt score=4.1 op=write' WHEN seq = c1 THEN 'ts=' || ts_ms || ' BLOCK pattern=start_then_encrypt score=10.6' ELSE '' END AS log,
   CASE WHEN seq = c0 THEN 'start_then_encrypt:start' WHEN seq = c1 THEN 'start_then_encrypt:encrypt' ELSE '' END AS commits
 FROM e JOIN q USING (actor) WHERE seq = c0 OR op = 'write' AND seq > c0 AND (c1 IS NULL OR seq <= c1)""",
+        "outcome_levels": _E + first + """
+SELECT level, CASE level WHEN 'warn' THEN 'Deny' ELSE 'Allow' END AS decision, count(*) AS n FROM (
+  SELECT CASE WHEN op = 'write' AND seq > c0 AND (c1 IS NULL OR seq <= c1) THEN 'warn' WHEN seq = c0 THEN 'info' ELSE 'debug' END AS level FROM e LEFT JOIN q USING (actor)) GROUP BY level""",
         "dropped_programs": _E + """,
 d AS (SELECT actor, min(seq) AS c0, arg_min(object, seq) AS dropped FROM e WHERE op = 'write' AND k % 4 = 1 GROUP BY actor),
 x AS (SELECT d.actor, c0, min(seq) FILTER (seq > c0) AS c1 FROM d LEFT JOIN e ON e.actor = d.actor AND e.op = 'exec' AND e.object = dropped GROUP BY d.actor, c0)

@@ -11,7 +11,7 @@ from tracewright.engine import BUILT_IN, Engine
 from tracewright.functions.kernel import kernel_events, worth_recording
 from tracewright.model import op_bit
 from tracewright.plans.rules import compile_rules
-from tracewright.queries import _DENY, _E, DAG, LINEAR, SEGMENT_MS, _chain, _commits, _steps, _ttps, arm_commands, events, scored_replay, tagged
+from tracewright.queries import _DENY, _E, DAG, LINEAR, SEGMENT_MS, _chain, _commits, _steps, _ttps, arm_commands, events, tagged
 from tracewright.sinks import control, reports
 from tracewright.sources.reader import GOLDEN, read_events
 from tracewright.streaming.flow import answered, missing, once
@@ -132,10 +132,6 @@ def short_names(spark, sf_dir):
     return p.withColumn("short", reports.short("id")).groupBy("short").agg(F.count("*").alias("n"))
 
 
-def outcome_levels(spark, sf_dir):
-    return scored_replay(spark, sf_dir).groupBy(reports.log_level().alias("level"), "decision").agg(F.count("*").alias("n"))
-
-
 def gap_sessions(spark, sf_dir):
     """An actor's events cut where nothing happened for the segment window."""
     w = Window.partitionBy("actor").orderBy("ts_ms", "seq")
@@ -145,7 +141,7 @@ def gap_sessions(spark, sf_dir):
 
 ALL = (
     golden_linear, golden_dag, demo_outcomes, demo_replies, stress_edges, kernel_tags, recorded_handles, armed_events, trigger_index, storyline_chains, answered_requests, first_per_handle,
-    delivered_once, missing_numbers, counters, actor_objects_sketch, short_names, outcome_levels, gap_sessions,
+    delivered_once, missing_numbers, counters, actor_objects_sketch, short_names, gap_sessions,
 )
 
 
