@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,28 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; long texts make even this many megabytes.
 BATCH_ROWS = 512
+#: What this worker keeps from task to task, by the module that keeps it.
+_CACHES: dict[str, dict] = {}
+_LAST: list[str] = []
+
+
+def cached(module: str, cache: dict) -> dict:
+    """A cache that outlives tasks, until one of another operator begins in this worker."""
+    return _CACHES.setdefault(module, cache)
+
+
+def alone(module: str) -> None:
+    """To be called as a task begins: frees what other operators have left in this worker, which Spark uses for all of them."""
+    left = [cache for name, cache in _CACHES.items() if name != module and cache]
+    for cache in left:
+        cache.clear()
+    if left or _LAST != [module]:
+        _LAST[:] = [module]
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
 
 
 def tuned(spark: SparkSession) -> SparkSession:

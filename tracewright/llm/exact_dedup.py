@@ -3,8 +3,8 @@
 Texts are equal when identical after deleting blanks and the characters 9 to 13. Each task first merges its
 own records (so a text with very many copies is shuffled once a task), the survivors are shuffled by a hash
 of the content, and each task merges what it gets. Merging reads records into an open-addressing table that
-compares complete contents; when the table outgrows its budget, records go to spill files by further hash
-bits and each file is merged in the same way, until it fits. Spill files are a task's own, in the folders that Spark
+compares complete contents, made anew of the texts where hashes are equal, as it holds no second copy of a
+text; when the table outgrows its budget, other columns counted, records go to spill files by further hash bits and each file is merged in the same way, until it fits. Spill files are a task's own, in the folders that Spark
 gives its workers for spilling, and go with it; a lost task starts again from its input.
 
 Of equal texts the row with the most code points in its text stays, then the smallest doc_id (nulls last).
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import renamed, tuned
+from tracewright.llm.common import alone, renamed, tuned
 
-#: Bytes of content that a table may hold before it spills.
+#: Bytes of rows that a table may hold before it spills.
 BUDGET = 48 << 20
 FANOUT_BITS = 4
 _BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -42,8 +43,34 @@ def rank_of(text: str | None, doc_id: int | None) -> tuple:
     return -len(text or ""), doc_id is None, doc_id or 0
 
 
+class Content:
+    """A text that equals others by content, and is held as it is."""
+
+    __slots__ = ("text",)
+
+    def __init__(self, text: str | None):
+        self.text = text
+
+    def __eq__(self, other: Content) -> bool:
+        return self.text == other.text or content_of(self.text) == content_of(other.text)
+
+    __hash__ = None
+
+
+def bytes_of(value) -> int:
+    """About what a value takes in memory, if it is more than a number does."""
+    if isinstance(value, (str, bytes)):
+        return sys.getsizeof(value)
+    if isinstance(value, dict):
+        value = [*value, *value.values()]
+    return 60 * len(value) + sum(map(bytes_of, value)) if isinstance(value, (list, tuple)) else 0
+
+
 class OpenTable:
-    """Open addressing with linear probing. An entry is ``[hash, content, size, rank, row, digest]``."""
+    """Open addressing with linear probing. An entry is ``[hash, content, size, rank, row, digest]``.
+
+    The content is bytes, or a ``Content`` of the row's text, which takes no memory besides.
+    """
 
     def __init__(self):
         self.slots: list[int] = [-1] * 64
@@ -58,12 +85,13 @@ class OpenTable:
             if mine[0] == entry[0] and mine[1] == entry[1]:
                 mine[2] += entry[2]
                 if entry[3] < mine[3]:
-                    mine[3:] = entry[3:]
+                    self.bytes += bytes_of(entry[4]) - bytes_of(mine[4])
+                    mine[1], mine[3:] = entry[1], entry[3:]
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.entries)
         self.entries.append(entry)
-        self.bytes += len(entry[1]) + 400
+        self.bytes += bytes_of(entry[1]) + bytes_of(entry[4]) + 400
         if 2 * len(self.entries) > len(self.slots):
             self.slots = [-1] * (4 * len(self.slots))
             mask = len(self.slots) - 1
@@ -124,6 +152,7 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budge
     i, j = names.index(doc_id), names.index(text)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(grace.__module__)
         kind: list[pa.Schema] = []
 
         def entries():
@@ -133,15 +162,14 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budge
                 columns = [c.to_pylist() for c in batch.columns]
                 sizes = columns[len(names) + 1] if len(columns) > len(names) else None
                 for k, row in enumerate(zip(*columns[: len(names)], strict=True)):
-                    content = content_of(row[j])
-                    sha = hashlib.sha256(content).digest()
-                    yield [int.from_bytes(sha[:8], "big"), content, sizes[k] if sizes else 1, rank_of(row[j], row[i]), row, sha]
+                    sha = hashlib.sha256(content_of(row[j])).digest()
+                    yield [int.from_bytes(sha[:8], "big"), Content(row[j]), sizes[k] if sizes else 1, rank_of(row[j], row[i]), row, sha]
 
         rows: list[tuple] = []
         held = 0
         for entry in grace(entries(), budget):
             rows.append((*entry[4], entry[5], entry[2]))
-            held += len(entry[1])
+            held += bytes_of(entry[4])
             if held > 8 << 20 or len(rows) == 4096:
                 yield _rows(rows, kind[0])
                 rows, held = [], 0
@@ -172,6 +200,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(content_of.__module__)
         for batch in batches:
             sha = [hashlib.sha256(content_of(x)).digest() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary())], names=["doc_id", "_sha256"])

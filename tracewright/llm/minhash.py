@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import by_group, renamed, texts, tuned
+from tracewright.llm.common import alone, by_group, cached, renamed, texts, tuned
 from tracewright.operators.graph import connected_components
 from tracewright.storage import small, stored
 
@@ -68,7 +68,7 @@ class Words(dict):
         return found
 
 
-_WORDS = Words()
+_WORDS = cached(__name__, Words())
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -148,6 +148,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, brief`` (a byte a component) and ``keys`` (one a band) of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(shingles.__module__)
         for batch in batches:
             bags = [shingles(x) for x in texts(batch, "text")]
             at = [i for i, b in enumerate(bags) if len(b[0])]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewright.llm.common import texts, tuned
+from tracewright.llm.common import alone, texts, tuned
 from tracewright.llm.tokens import encoder
 
 WINDOW = 4096
@@ -169,6 +169,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        alone(encoder.__module__)
+
         def documents():
             for batch in batches:
                 yield from zip(batch.column(0).to_pylist(), (ids + end for ids in encoder(vocabulary, False).encode(texts(batch, "text"))), strict=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.calibration import calibrated, isotonic
-from tracewright.llm.common import remainder, texts, tuned
+from tracewright.llm.common import alone, remainder, texts, tuned
 from tracewright.storage import BROADCAST_ROWS, small, stored
 
 FEATURES = 256
@@ -64,6 +64,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """``(doc_id, stats)`` of every document, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(statistics.__module__)
         for batch in batches:
             stats = [statistics(x) for x in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "stats"])
@@ -188,6 +189,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(statistics.__module__)
         for batch in batches:
             if batch.num_rows:
                 scores = model.score(np.array([statistics(x or "") for x in batch.column(at).to_pylist()]))

@@ -15,11 +15,13 @@ import struct
 
 import numpy as np
 
+from tracewright.llm.common import cached
+
 #: Words kept in each of the cache's two generations; a word is a few dozen bytes.
 CACHE_WORDS = 600_000
 #: Longer words are encoded anew each time.
 LONG_WORD = 200
-_LOADED: dict[tuple, Encoder] = {}
+_LOADED: dict[tuple, Encoder] = cached(__name__, {})
 # The vocabularies' patterns, for these letters; the first one's is for texts in lower case.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
